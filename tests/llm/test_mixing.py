@@ -65,8 +65,8 @@ def test_no_rows(spark):
 def test_heavier_rows_are_taken_more_often(spark):
     from pyspark.sql import functions as F
 
-    docs = spark.createDataFrame([(i, "a b", "a" if i % 2 else "b") for i in range(4000)], "doc_id long, text string, source string")
-    got = mixing.mix(docs, F.when(F.col("doc_id") < 2000, 2.0).otherwise(0.5)).groupBy((F.col("doc_id") < 2000).alias("heavy"), "source").agg(F.avg("taken")).collect()
+    docs = spark.createDataFrame([(i, "a b", "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, F.when(F.col("doc_id") < 3000, 2.0).otherwise(0.5)).groupBy((F.col("doc_id") < 3000).alias("heavy"), "source").agg(F.avg("taken")).collect()
     b = {r[0]: r[2] for r in got if r[1] == "b"}
     assert b[True] > b[False] + 0.3
 

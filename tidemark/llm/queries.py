@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, license_scan, maglev, mixing
+from tidemark.llm import decontaminate, html_main, langid, license_scan, maglev, mixing, pivot_topk
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -14,6 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs)
@@ -35,16 +39,44 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.shard(read(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard", "shard_name")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), "n_blocks")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op8_shard": op8_shard,
+    "op9_main_text": op9_main_text,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text, as op3 and op10 take them.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, w[k:k + 9] AS win, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM b WHERE len(w) > 0)),
+        pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+        f AS (SELECT DISTINCT n, win[1] AS first FROM win),
+        may AS (SELECT pos.doc_id, p, f.n, w[p:p + f.n - 1] AS part FROM pos JOIN f ON w[p] = f.first),
+        hit AS (SELECT DISTINCT may.doc_id, p, may.n, item_id FROM may JOIN win ON may.part = win.win AND may.n = win.n),
+        cov AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM hit) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
