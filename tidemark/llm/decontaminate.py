@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import shipping
 from tidemark.llm import words
 
 SHINGLE = 5
@@ -192,6 +193,7 @@ def contamination(
     no rows give no rows. Other columns of either table are not looked at. More than `block` windows are looked up in
     several scans, whose results are joined by summing the spans of each row (docs needs different ids then).
     """
+    shipping.ensure(docs.sparkSession)
     parts = list(prepared_scans(docs, benchmark, window, block, id, text, item_id, item_text))
     if len(parts) == 1:
         return parts[0]
@@ -225,3 +227,22 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = 1_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in which no window occurs, one map for each block of windows and no shuffle."""
+    shipping.ensure(docs.sparkSession)
+    place = docs.columns.index(text)
+    clean = docs
+    for b in prepared(docs, benchmark, window, block, item_id, item_text, text):
+
+        def run(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
+            find = _occurrences(b)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for g in words.word_groups(batch.column(place)):
+                    keep[[g.first + r for r, _, _ in find(g, g.row_of_words())]] = False
+                yield batch.filter(pa.array(keep))
+
+        clean = clean.mapInArrow(run, docs.schema)
+    return clean

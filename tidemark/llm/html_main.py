@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import shipping
 from tidemark.llm import dom, gbt
 
 PAGES, SEED = 600, 11
@@ -214,6 +215,7 @@ def extract(pages: DataFrame, html: str = "html", model: Model | None = None, at
     A null or empty html, or one without main text, gives an empty text. Texts are whole; blocks are joined by \\n; white space in
     a block is one space. Repeated rows each get their text; columns named main_text or n_blocks are replaced.
     """
+    shipping.ensure(pages.sparkSession)
     model = model or fitted()
     kept = [c for c in pages.columns if c not in (html, "main_text", "n_blocks")]
 

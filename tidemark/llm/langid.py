@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import shipping
 from tidemark.llm import words
 
 TOP, PER_LANG = 400, 2000
@@ -181,6 +182,7 @@ class Profiles:
 
 def fit(train: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP, per_lang: int = PER_LANG) -> Profiles:
     """Profiles of every non-null language of train, from about per_lang of its rows (all, if it has fewer)."""
+    shipping.ensure(train.sparkSession)
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
@@ -205,6 +207,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     is, as a share of its distance. A null text, one without a letter, and any text where there is no profile: und, 0, 0.
     Of equally near languages, the first by name is taken.
     """
+    shipping.ensure(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin")]
     fields = [f for f in docs.schema if f.name in kept]
 

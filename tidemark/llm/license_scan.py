@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import shipping
 from tidemark.llm import words
 
 #: Phrase and label of each base detection.
@@ -172,6 +173,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     A null or empty text has no words and no detections; repeated rows each get their result; other columns are not
     looked at; no rows give no rows.
     """
+    shipping.ensure(docs.sparkSession)
     base = [(words.hash_words([w.encode() for w in p.split()]), p.encode(), label) for p, label in BASE.items()]
     keywords = _keywords()
     key_hashes = words.hash_words([w.encode() for w in keywords])

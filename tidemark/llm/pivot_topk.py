@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import shipping
 from tidemark.llm import scratch
 
 SCALE = 1024
@@ -148,6 +149,7 @@ def top_k(
     A shorter vector counts as padded with zeros. Queries of fewer than k candidates get all of them; no rows, none.
     """
     spark = vectors.sparkSession
+    shipping.ensure(spark)
     rows = prepared(vectors, id, embedding)
     count, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     chosen = choose_pivots(rows, pivots, sample)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_main, langid, license_scan, maglev, mixing, pivot_topk
+from tidemark.llm import decontaminate, html_main, langid, license_scan, maglev, mixing, order_minhash, pivot_topk
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(docs, items))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rated = mixing.label_weight(docs, read(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_mix_sources": op6_mix_sources,
     "op8_shard": op8_shard,
     "op9_main_text": op9_main_text,
