@@ -66,12 +66,17 @@ def test_heavier_rows_are_taken_more_often(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(i, "a b", "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
-    got = mixing.mix(docs, F.when(F.col("doc_id") < 3000, 2.0).otherwise(0.5)).groupBy((F.col("doc_id") < 3000).alias("heavy"), "source").agg(F.avg("taken")).collect()
+    got = mixing.mix(mixing.measure(docs).withColumn("__weight", F.when(F.col("doc_id") < 3000, 2.0).otherwise(0.5))).groupBy((F.col("doc_id") < 3000).alias("heavy"), "source").agg(F.avg("taken")).collect()
     b = {r[0]: r[2] for r in got if r[1] == "b"}
     assert b[True] > b[False] + 0.3
 
 
 def test_label_weight_of_repeated_labels(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "abc"), (2, "bcd"), (3, "cde"), (None, "def")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
-    assert {r["text"]: r["__quality"] for r in mixing.label_weight(docs, labels).collect()} == {"a": 2.0, "b": 0.5, "c": 1.0, "d": 1.0}
+    assert {r["text"]: r["__weight"] for r in mixing.label_weight(mixing.measure(docs), labels).collect()} == {"abc": 2.0, "bcd": 0.5, "cde": 1.0, "def": 1.0}
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 60}") for i in range(500)], "doc_id long, text string, source string")
+    assert sorted(map(str, mixing.mix(docs, small=5).collect())) == sorted(map(str, mixing.mix(docs).collect()))

@@ -10,26 +10,33 @@ the prefix sums over these rows tell in which range a source's rest ends, and on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 OUT = ["size", "source_size", "target", "taken"]
 
 
-def default_weight(text: Column, size: Column) -> Column:
-    """1 for a text whose words have 3 to 12 characters on average, else 0.5."""
-    mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3, 13), 1.0).otherwise(0.5)
+def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+    """docs with what mixing needs to know of a text: __size, __hash and __weight.
+
+    The weight is 1 for a text whose words have 3 to 12 characters on average, else 0.5.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    measured = docs.withColumn("__size", size).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id), F.col(text)))
+    mean = F.length(text) / F.greatest("__size", F.lit(1))
+    return measured.withColumn("__weight", F.when(mean.between(3, 13), 1.0).otherwise(0.5))
 
 
-def label_weight(docs: DataFrame, labels: DataFrame, id: str = "doc_id") -> DataFrame:
-    """docs with __quality: 2 for labelled quality 1, 0.5 for 0, between them for differing labels, else 1."""
+def label_weight(measured: DataFrame, labels: DataFrame, id: str = "doc_id") -> DataFrame:
+    """measured with its __weight times 2 for labelled quality 1, 0.5 for 0, between them for differing labels."""
     rated = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("__rated"))
     rated = rated.agg((0.5 + 1.5 * F.avg(F.col("quality").cast("double"))).alias("__quality"))
-    joined = docs.join(rated, docs[id] == F.col("__rated"), "left").drop("__rated")
-    return joined.withColumn("__quality", F.coalesce("__quality", F.lit(1.0)))
+    joined = measured.join(rated, measured[id] == F.col("__rated"), "left")
+    return joined.withColumn("__weight", F.col("__weight") * F.coalesce("__quality", F.lit(1.0))).drop("__rated", "__quality")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -51,12 +58,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 def mix(
     docs: DataFrame,
-    weight: Column | None = None,
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 17,
     buckets: int = 4096,
+    small: int = 100_000,
     id: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -64,46 +71,43 @@ def mix(
     """docs with size, source_size, target and taken (words taken from the row: size times its copies).
 
     Sources by code point, null last, have the weights in turn and share `share` times all words; none gets more than
-    `most` times its own, the excess goes to the others by weight. weight: a positive column, best between 0.5 and 2.
-    Null or empty texts have size 0 and nothing is taken of them; a null source is a source of its own; a null id is
-    like any other; equal rows at the edge are taken or left together; no rows give no rows. Columns of docs named
-    like a result column are replaced.
+    `most` times its own, the excess goes to the others by weight. docs may come from measure(), without their text
+    and with any positive __weight. Null or empty texts have size 0 and nothing is taken of them; a null source is a
+    source of its own; a null id is like any other; equal rows at the edge are taken or left together; no rows give no
+    rows. Columns of docs named like a result column are replaced. The table of targets has a row for each source; it
+    is broadcast if these are `small` at most, else it is joined by a shuffle.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.withColumn("__size", size)
-    w = F.greatest(weight if weight is not None else default_weight(F.col(text), F.col("__size")), F.lit(1e-6))
-    hashed = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
-    u = (F.pmod(hashed, F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    base = base.withColumn("__key", -F.log(u) / F.coalesce(w, F.lit(1.0)))
+    base = docs if "__size" in docs.columns else measure(docs, id, text, seed)
+    u = (F.pmod("__hash", F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    base = base.withColumn("__key", -F.log(u) / F.greatest(F.coalesce("__weight", F.lit(1.0)), F.lit(1e-6)))
     base = base.withColumn("__bucket", F.floor(buckets * (1 - F.exp(-F.col("__key")))).cast("int"))
-    rank = F.struct(F.col("__key").alias("k"), hashed.alias("h"), F.col("__size").alias("s"))
-
-    spread = base.groupBy(F.col(source).alias("source"), "__bucket").agg(F.sum("__size").alias("__sum"))
-    goal = targets(spread.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, share, most)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = goal.withColumn("__epochs", epochs.cast("long")).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    upto = F.sum("__sum").over(W.partitionBy("source").orderBy("__bucket"))
-    g = goal.select(F.col("source").alias("__s"), "__rest")
-    edge = spread.withColumn("__upto", upto).join(g, F.col("source").eqNullSafe(F.col("__s")))
-    edge = edge.filter((F.col("__upto") > F.col("__rest")) & (F.col("__upto") - F.col("__sum") <= F.col("__rest")) & (F.col("__rest") > 0))
-    edge = edge.groupBy(F.col("source").alias("__s")).agg(
-        F.min(F.struct("__bucket", (F.col("__upto") - F.col("__sum")).alias("__before"), "__rest")).alias("__e")
-    ).select("__s", F.col("__e.__bucket").alias("__edge"), F.col("__e.__before").alias("__before"), F.col("__e.__rest").alias("__rest"))
-
-    last = base.select(F.col(source).alias("source"), "__bucket", "__size", rank.alias("__rank"))
-    last = last.join(edge, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__edge")))
-    sums = F.sum("__size").over(W.partitionBy("source").orderBy("__rank"))  # equal rows have one sum
+    rank = F.struct(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("__size").alias("s"))
+    of_source = F.col(source).eqNullSafe(F.col("__source"))
+
+    spread = scratch.table(base.groupBy(F.col(source).alias("__source"), "__bucket").agg(F.sum("__size").alias("__sum")), "spread")
+    sizes = spread.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size"))
+    goal = targets(sizes, weights, share, most).withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
+    epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
+    goal = goal.withColumn("__epochs", epochs.cast("long")).withColumn("__rest", F.col("__target") - F.col("__epochs") * F.col("__source_size"))
+    upto = spread.withColumn("__upto", F.sum("__sum").over(W.partitionBy("__source").orderBy("__bucket"))).withColumnRenamed("__source", "__s")
+    ends = upto.join(goal.select("__source", "__rest"), F.col("__s").eqNullSafe(F.col("__source")))
+    ends = ends.filter((F.col("__upto") > F.col("__rest")) & (F.col("__rest") > 0)).groupBy("__s")
+    ends = ends.agg(F.min(F.struct("__bucket", (F.col("__upto") - F.col("__sum")).alias("__before"))).alias("__e"))
+    goal = goal.join(ends, F.col("__source").eqNullSafe(F.col("__s")), "left").select(*goal.columns, F.col("__e.__bucket").alias("__edge"), F.col("__e.__before").alias("__before"))
+    goal = scratch.table(goal, "goal")
+    sent = F.broadcast if goal.count() <= small else lambda x: x
+
+    edge = sent(goal.select("__source", "__edge", "__before", "__rest"))
+    last = base.select(source, "__bucket", "__size", rank.alias("__rank")).join(edge, of_source & (F.col("__bucket") == F.col("__edge")))
+    sums = F.sum("__size").over(W.partitionBy("__source").orderBy("__rank"))  # equal rows have one sum
     last = last.withColumn("__upto", F.col("__before") + sums).filter(F.col("__upto") - F.col("__size") / 2 <= F.col("__rest"))
-    last = last.groupBy("source").agg(F.max("__rank").alias("__last"))
-
-    plan = goal.join(edge.select("__s", "__edge"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    plan = plan.join(last.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "__rest")
-    plan = plan.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
-    out = base.join(plan, F.col(source).eqNullSafe(F.col("__source")), "left")
+    last = last.groupBy("__source").agg(F.max("__rank").alias("__last")).withColumnRenamed("__source", "__s")
+    goal = goal.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__rest", "__before")
+    out = base.join(sent(goal), of_source, "left")
     extra = (F.col("__bucket") < F.col("__edge")) | ((F.col("__bucket") == F.col("__edge")) & F.coalesce(rank <= F.col("__last"), F.lit(False)))
     copies = F.col("__epochs") + F.coalesce(extra, F.lit(False)).cast("long")
     out = out.withColumn("__taken", F.col("__size") * copies).withColumn("__copies", copies)
-    kept = [c for c in docs.columns if c not in OUT and c != "__quality"]
+    kept = [c for c in docs.columns if c not in OUT and c not in ("__size", "__hash", "__weight")]
     return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in OUT], "__copies")
 
 

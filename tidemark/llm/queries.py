@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_main, langid, license_scan, maglev, mixing, order_minhash, pivot_topk
+from tidemark.llm import decontaminate, html_main, langid, license_scan, maglev, mixing, order_minhash, pivot_topk, scratch
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -35,8 +35,9 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rated = mixing.label_weight(docs, read(spark, sf_dir, "labels"))
-    return mixing.mix(rated, F.col("__quality")).select("doc_id", "size", "source_size", "target", "taken")
+    measured = mixing.measure(docs).drop("text")  # the text stays behind before anything is joined
+    rated = scratch.table(mixing.label_weight(measured, read(spark, sf_dir, "labels")), "measured")
+    return mixing.mix(rated).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
