@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_main, langid, license_scan, maglev, mixing, order_minhash, pivot_topk, scratch
+from tidemark.llm import decontaminate, fuzzy_lines, html_main, langid, license_scan, maglev, mixing, order_minhash, pivot_topk, revisit, scratch
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -33,6 +33,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_lines(read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     measured = mixing.measure(docs).drop("text")  # the text stays behind before anything is joined
@@ -40,6 +44,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rated).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve(revisit.captures(read(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform("merged_headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", "canonical_url", "status", "outcome", "response_id", headers.alias("merged_headers"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.shard(read(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard", "shard_name")
 
@@ -58,7 +68,9 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_mix_sources": op6_mix_sources,
+    "op7_revisits": op7_revisits,
     "op8_shard": op8_shard,
     "op9_main_text": op9_main_text,
     "op10_license_scan": op10_license_scan,
