@@ -35,28 +35,30 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).dropDuplicates())
 
 
-def linked(member: DataFrame, size: str, verified, fits) -> DataFrame:
+def linked(member: DataFrame, verified, size: str | None = None, fits=None) -> DataFrame:
     """(node, root) of the nodes that are similar to another node of a bucket.
 
-    member: (band, sketch, node, size); nodes of equal band and sketch share a bucket. fits(size, size) is a condition
-    that similar nodes meet; verified(pairs of a and b) returns those that are similar. All nodes of a bucket are compared
-    with its smallest node. Of buckets whose nodes are then in several components, the nodes outside the bucket's largest component
-    are compared with all nodes of other components. Nothing else is left to compare but nodes that are joined already.
+    member: (sketch, node) and perhaps a size; nodes of equal sketch share a bucket. fits(size, size) is a condition that
+    similar nodes meet; verified(pairs of a and b) returns those that are similar. All nodes of a bucket are compared with its
+    smallest node. Of buckets whose nodes are then in several components, the nodes outside the bucket's largest component are
+    compared with all nodes of other components. Nothing else is left to compare but nodes that are joined already.
     """
-    lead = F.min(F.struct("node", size)).alias("lead")
-    bucket = member.groupBy("band", "sketch").agg(lead, F.count("*").alias("n")).filter("n > 1")
-    member = scratch.table(member.join(bucket, ["band", "sketch"]).select("band", "sketch", "node", size, "lead"), "buckets")
-    star = member.filter(F.col("node") != F.col("lead.node")).filter(fits(F.col(size), F.col(f"lead.{size}")))
-    star = scratch.table(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
+    sizes = [size] if size else []
+    meets = (lambda a, b: fits(F.col(a), F.col(b))) if size else (lambda a, b: F.lit(True))
+    bucket = member.groupBy("sketch").agg(F.min(F.struct("node", *sizes)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    bucket = bucket.select("sketch", F.col("lead.node").alias("lead"), *[F.col(f"lead.{c}").alias("lead_size") for c in sizes])
+    member = scratch.table(member.join(bucket, "sketch"), "buckets")
+    star = member.filter(F.col("node") != F.col("lead")).filter(meets(size, "lead_size"))
+    star = scratch.table(star.select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
     edges = scratch.table(verified(star), "similar")
     roots = scratch.table(connected(edges), "roots")
 
-    member = member.select("band", "sketch", "node", size).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_root = member.groupBy("band", "sketch", "root").count()
-    mixed = of_root.groupBy("band", "sketch").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1")
-    member = scratch.table(member.join(mixed.select("band", "sketch", "main"), ["band", "sketch"]), "mixed")
-    odd = member.filter(F.col("root") != F.col("main")).select("band", "sketch", F.col("node").alias("x"), F.col("root").alias("rx"), F.col(size).alias("nx"))
-    rest = odd.join(member, ["band", "sketch"]).filter(F.col("rx") != F.col("root")).filter(fits(F.col("nx"), F.col(size)))
+    member = member.select("sketch", "node", *sizes).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = member.groupBy("sketch", "root").count()
+    mixed = of_root.groupBy("sketch").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1")
+    member = scratch.table(member.join(mixed.select("sketch", "main"), "sketch"), "mixed")
+    odd = member.filter(F.col("root") != F.col("main")).select("sketch", F.col("node").alias("x"), F.col("root").alias("rx"), *[F.col(c).alias("nx") for c in sizes])
+    rest = odd.join(member, "sketch").filter(F.col("rx") != F.col("root")).filter(meets("nx", size))
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).dropDuplicates()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.table(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
