@@ -159,7 +159,7 @@ def age_bands(t):
     return t.panel().groupBy(S.age_band("age_months").alias("left_closed"), S.age_band("age_months", closed="right").alias("right_closed")).agg(F.count("*").alias("n"))
 
 
-@query("p02_parsed_text", "SELECT doc_id, try_cast(nullif(trim(source), '') AS DOUBLE) AS number, TRY_CAST(regexp_replace(source, 'src', '199') || '-01-15' AS DATE) AS parsed, nullif(trim(lang), 'en') AS other_lang FROM documents")
+@query("p02_parsed_text", "SELECT doc_id, try_cast(nullif(trim(source), '') AS DOUBLE) AS number, TRY_CAST(CASE WHEN length(source) = 4 THEN regexp_replace(source, 'src', '199') || '-01-15' END AS DATE) AS parsed, nullif(trim(lang), 'en') AS other_lang FROM documents")
 def parsed(t):
     made = F.concat(F.regexp_replace("source", "src", "199"), F.lit("-01-15"))
     return t.documents.select("doc_id", S.parsed_number("source").alias("number"), F.when(F.length(made) == 10, F.expr("try_cast(concat(regexp_replace(source, 'src', '199'), '-01-15') as date)")).alias("parsed"), F.nullif(F.trim("lang"), F.lit("en")).alias("other_lang"))
