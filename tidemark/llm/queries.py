@@ -97,4 +97,23 @@ ORACLE_SQL: dict[str, str] = {
         it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op7_revisits": r"""
+        WITH p AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (page_id % 40000) AS t0, md5(coalesce(html, ''))[1:16] AS tag, strftime(DATE '2024-01-01' + (page_id % 300)::INT, '%Y-%m-%d') AS day,
+            regexp_replace(regexp_replace(url, '^http:', 'https:'), '[#].*$', '') AS u2 FROM pages),
+        c AS (SELECT page_id * 2 AS record_id, url, t0 AS at, 200 AS status, strlen(coalesce(html, '')) AS size, CASE WHEN page_id % 5 <> 0 THEN '"' || tag || '"' END AS etag, day, NULL AS date FROM p
+            UNION ALL SELECT page_id * 2 + 1, u2 || CASE WHEN contains(u2, '?') THEN '&' ELSE '?' END || 'utm_source=x', t0 + INTERVAL 30 DAY, 304, 0,
+            CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"0"' ELSE 'W/"' || tag || '"' END, CASE WHEN page_id % 11 <> 0 THEN day END, strftime(t0 + INTERVAL 30 DAY, '%Y-%m-%d') FROM p),
+        b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS bare FROM c),
+        h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)?$', ''), '^(www[0-9]*|m)\.([^.]+\.)', '\2') AS host,
+            regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+            list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(lower(q), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid|phpsessid|jsessionid)(=|$)'))) AS params FROM b),
+        r AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical_url FROM h),
+        f AS (SELECT v.record_id, max((s.at, s.record_id)) AS best FROM r v JOIN r s ON s.status = 200 AND s.canonical_url = v.canonical_url AND s.at < v.at WHERE v.status = 304 GROUP BY 1),
+        j AS (SELECT v.*, s.record_id AS s_id, s.size AS s_size, s.etag AS s_etag, s.day AS s_day FROM r v LEFT JOIN f ON f.record_id = v.record_id LEFT JOIN r s ON s.record_id = struct_extract_at(f.best, 2)),
+        o AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN canonical_url IS NULL THEN 'no_url' WHEN s_id IS NULL THEN 'no_earlier_response'
+            WHEN etag IS NOT NULL AND s_etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(s_etag, '^W/', '') THEN 'resolved' ELSE 'changed' END
+            WHEN day IS NOT NULL AND s_day IS NOT NULL THEN CASE WHEN day = s_day THEN 'resolved' ELSE 'changed' END ELSE 'no_validator' END AS outcome FROM j)
+        SELECT record_id, canonical_url, status, outcome, CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN s_id END AS response_id,
+            CASE outcome WHEN 'full' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || size, 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || day)
+            WHEN 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=3600', 'content-length: ' || s_size, 'content-type: text/html', 'date: ' || date, 'etag: ' || coalesce(etag, s_etag), 'last-modified: ' || coalesce(day, s_day)) END AS merged_headers FROM o""",
 }
