@@ -194,7 +194,7 @@ def either(t):
     return t.part.join(b, "p_partkey").agg(F.count("*").alias("n"), F.count_if(X.either_contains(F.col("p_name"), F.col("w"))).alias("n_match"))
 
 
-@query("n12_without_tags", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM pages".replace('""', '"'))
+@query("n12_without_tags", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
 def tags(t):
     return t.pages.select("page_id", F.md5(X.without_tags("html")).alias("text_md5"))
 
