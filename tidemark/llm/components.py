@@ -35,33 +35,43 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).dropDuplicates())
 
 
-def linked(member: DataFrame, verified, size: str | None = None, fits=None) -> DataFrame:
-    """(node, root) of the nodes that are similar to another node of a bucket.
+def linked(member: DataFrame, verified, limit, size: str) -> DataFrame:
+    """(node, root) of the nodes that are near another node of a bucket.
 
-    member: (sketch, node) and perhaps a size; nodes of equal sketch share a bucket. fits(size, size) is a condition that
-    similar nodes meet; verified(pairs of a and b) returns those that are similar. All nodes of a bucket are compared with its
-    smallest node. Of buckets whose nodes are then in several components, the nodes outside the bucket's largest component are
-    compared with all nodes of other components. Nothing else is left to compare but nodes that are joined already.
+    member: (sketch, node, size); nodes of equal sketch share a bucket. Nearness is a metric: verified(pairs of a and b)
+    gives each pair its distance d, null if that is more than twice the limit, and whether it is near, at most limit(size, size);
+    d is never below the difference of sizes.
+
+    All nodes of a bucket are compared with its smallest node. Of buckets whose nodes are then in several components, the nodes
+    outside the bucket's largest component are compared with the nodes of other components, unless the distances of both to the
+    bucket's smallest node rule it out by the triangle inequality. What isn't compared is joined already or can't be near.
     """
-    sizes = [size] if size else []
-    meets = (lambda a, b: fits(F.col(a), F.col(b))) if size else (lambda a, b: F.lit(True))
-    bucket = member.groupBy("sketch").agg(F.min(F.struct("node", *sizes)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    bucket = bucket.select("sketch", F.col("lead.node").alias("lead"), *[F.col(f"lead.{c}").alias("lead_size") for c in sizes])
+    s = F.col(size)
+    bucket = member.groupBy("sketch").agg(F.min(F.struct("node", size)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    bucket = bucket.select("sketch", F.col("lead.node").alias("lead"), F.col(f"lead.{size}").alias("lead_size"))
     member = scratch.table(member.join(bucket, "sketch"), "buckets")
-    star = member.filter(F.col("node") != F.col("lead")).filter(meets(size, "lead_size"))
-    star = scratch.table(star.select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
-    edges = scratch.table(verified(star), "similar")
-    roots = scratch.table(connected(edges), "roots")
+    may = F.abs(s - F.col("lead_size")) <= limit(s, F.col("lead_size"))
+    star = member.filter(F.col("node") != F.col("lead")).filter(may).select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates()
+    star = scratch.table(verified(scratch.table(star, "pairs")), "distances")
+    roots = scratch.table(connected(star.filter("near")), "roots")
 
-    member = member.select("sketch", "node", *sizes).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = member.groupBy("sketch", "root").count()
     mixed = of_root.groupBy("sketch").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1")
-    member = scratch.table(member.join(mixed.select("sketch", "main"), "sketch"), "mixed")
-    odd = member.filter(F.col("root") != F.col("main")).select("sketch", F.col("node").alias("x"), F.col("root").alias("rx"), *[F.col(c).alias("nx") for c in sizes])
-    rest = odd.join(member, "sketch").filter(F.col("rx") != F.col("root")).filter(meets("nx", size))
+    member = member.join(mixed.select("sketch", "main"), "sketch")
+    known = star.select(F.col("a").alias("lead"), F.col("b").alias("node"), "d", F.lit(True).alias("tried"))
+    member = member.join(known, ["lead", "node"], "left")
+    own = F.col("node") == F.col("lead")
+    least = F.when(own, 0.0).when(F.col("d").isNotNull(), F.col("d")).when(F.col("tried"), 2 * limit(s, F.col("lead_size"))).otherwise(F.abs(s - F.col("lead_size")))
+    member = scratch.table(member.select("sketch", "node", size, "root", "main", least.cast("double").alias("least"), (own | F.col("d").isNotNull()).alias("exact")), "mixed")
+
+    odd = member.filter(F.col("root") != F.col("main")).select("sketch", F.col("node").alias("x"), F.col("root").alias("rx"), F.col(size).alias("nx"), F.col("least").alias("lx"), F.col("exact").alias("ex"))
+    most = limit(F.col("nx"), s)
+    ruled_out = (F.abs(F.col("nx") - s) > most) | (F.col("exact") & (F.col("lx") - F.col("least") > most)) | (F.col("ex") & (F.col("least") - F.col("lx") > most))
+    rest = odd.join(member, "sketch").filter(F.col("rx") != F.col("root")).filter(~ruled_out)
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).dropDuplicates()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.table(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     if rest.isEmpty():
         return roots
-    return connected(verified(rest).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return connected(verified(rest).filter("near").select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
