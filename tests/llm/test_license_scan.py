@@ -1,3 +1,8 @@
+import itertools
+import re._parser as parser
+
+import pytest
+
 from tidemark.llm import license_scan, words
 
 
@@ -36,3 +41,52 @@ def test_base_against_brute_force(spark):
         assert r["base_labels"] == ",".join(sorted({x[1] for x in base}))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     assert license_scan.digest(license_scan.scan(docs.filter("doc_id < 0"))).collect() == []
+
+
+def strings(tree):
+    """All texts of a parsed pattern, with repeats at most once and digits 1 only."""
+    out = [""]
+    for kind, arg in tree:
+        if str(kind) == "LITERAL":
+            more = [chr(arg)]
+        elif str(kind) == "IN":
+            more = [chr(x) if str(k) == "LITERAL" else "1" for k, x in arg]
+        elif str(kind) == "BRANCH":
+            more = [x for t in arg[1] for x in strings(t)]
+        elif str(kind) == "SUBPATTERN":
+            more = strings(arg[3])
+        elif str(kind) == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + strings(arg[2])
+        else:
+            assert str(kind) in ("AT", "ASSERT", "ASSERT_NOT"), kind
+            more = [""]
+        out = [a + b for a, b in itertools.product(out, dict.fromkeys(more))]
+    return out
+
+
+def test_every_alternative_of_a_rule_passes_its_gates():
+    alone = [r for r in license_scan.rules() if len(r.gates) == 1]
+    assert len(alone) == len(license_scan.FAMILIES) + len(license_scan.NOTICES)
+    for rule in alone:
+        for text in strings(parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.fullmatch(text) and rule.gates[0] & set(text.split()), (rule.label, text)
+    for _, frame, gate in license_scan.FRAMES:
+        for text in strings(parser.parse(frame.format("x"))) if gate else []:
+            assert set(gate) & set(text.split()), text
+
+
+NAMES = {
+    "LGPL": "lgpl", "FreeBSD License": "bsd-2-clause", "0BSD": "0bsd", "AGPLv3": "agpl-3.0", "AGPL3": "agpl-3.0", "GPL2": "gpl-2.0", "GPL3": "gpl-3.0",
+    "Do What The Fuck You Want To Public License": "wtfpl", "Creative Commons Zero": "cc0-1.0",
+}
+
+
+@pytest.mark.parametrize("name, label", NAMES.items())
+def test_names_without_the_usual_keyword(name, label):
+    assert [x[2] for x in found(f"licensed under the {name}")] == [label]
+
+
+def test_scan_finds_names_without_the_usual_keyword(spark):
+    docs = spark.createDataFrame([(i, f"It is licensed under the {n}.") for i, n in enumerate(NAMES)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.digest(license_scan.scan(docs)).collect()}
+    assert got == {i: (label, 0.95) for i, label in enumerate(NAMES.values())}

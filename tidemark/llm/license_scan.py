@@ -25,7 +25,7 @@ from tidemark.llm import words
 #: Phrase and label of each base detection.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, regex of its name in words, keyword of the name.
+#: Label, regex of its name in words, keywords of the name: each text it matches has one of them as a whole word.
 FAMILIES = [
     ("apache-1.0", r"apache(?: software)? license(?: version)? 1 0", "apache"),
     ("apache-1.1", r"apache(?: software)? license(?: version)? 1 1", "apache"),
@@ -34,16 +34,16 @@ FAMILIES = [
     ("mit-0", r"mit no attribution", "attribution"),
     ("x11", r"x11 licen[sc]e", "x11"),
     ("isc", r"isc licen[sc]e", "isc"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|simplified bsd|2 clause bsd|freebsd licen[sc]e)", "bsd"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|simplified bsd|2 clause bsd|freebsd licen[sc]e)", "bsd freebsd"),
     ("bsd-3-clause", r"(?:bsd 3 clause|new bsd|modified bsd|3 clause bsd|revised bsd)", "bsd"),
     ("bsd-4-clause", r"(?:bsd 4 clause|original bsd|4 clause bsd)", "bsd"),
     ("bsd", r"bsd(?: style)? licen[sc]e", "bsd"),
-    ("0bsd", r"(?:0bsd|zero clause bsd)", "bsd"),
+    ("0bsd", r"(?:0bsd|zero clause bsd)", "bsd 0bsd"),
     ("gpl-1.0", r"(?:gnu )?general public licen[sc]e(?: \(?gpl\)?)? (?:version|v) ?1", "public"),
     ("gpl-2.0", r"(?:gnu )?general public licen[sc]e(?: gpl)? (?:version|v) ?2", "public"),
     ("gpl-3.0", r"(?:gnu )?general public licen[sc]e(?: gpl)? (?:version|v) ?3", "public"),
-    ("gpl-2.0", r"(?:gnu )?gpl ?v?2(?: 0)?", "gpl"),
-    ("gpl-3.0", r"(?:gnu )?gpl ?v?3(?: 0)?", "gpl"),
+    ("gpl-2.0", r"(?:gnu )?gpl ?v?2(?: 0)?", "gpl gpl2 gplv2"),
+    ("gpl-3.0", r"(?:gnu )?gpl ?v?3(?: 0)?", "gpl gpl3 gplv3"),
     ("gpl-2.0", r"gplv2", "gplv2"),
     ("gpl-3.0", r"gplv3", "gplv3"),
     ("gpl", r"gnu gpl", "gpl"),
@@ -51,9 +51,9 @@ FAMILIES = [
     ("lgpl-2.0", r"library general public licen[sc]e(?: version 2)?", "library"),
     ("lgpl-2.1", r"lesser general public licen[sc]e (?:version|v) ?2 1", "lesser"),
     ("lgpl-3.0", r"lesser general public licen[sc]e (?:version|v) ?3", "lesser"),
-    ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)", "lesser"),
+    ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)", "lgpl lesser"),
     ("agpl-3.0", r"affero general public licen[sc]e(?: (?:version|v) ?3)?", "affero"),
-    ("agpl-3.0", r"(?:gnu )?agpl ?v?3(?: 0)?", "agpl"),
+    ("agpl-3.0", r"(?:gnu )?agpl ?v?3(?: 0)?", "agpl agpl3 agplv3"),
     ("fdl-1.3", r"free documentation licen[sc]e(?: (?:version )?1 3)?", "documentation"),
     ("mpl-1.1", r"mozilla public licen[sc]e(?: (?:version|v))? ?1 1", "mozilla"),
     ("mpl-2.0", r"mozilla public licen[sc]e(?: (?:version|v))? ?2(?: 0)?", "mozilla"),
@@ -67,7 +67,7 @@ FAMILIES = [
     ("zlib", r"zlib(?: libpng)? licen[sc]e", "zlib"),
     ("boost-1.0", r"boost software licen[sc]e(?: version)?(?: 1 0)?", "boost"),
     ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[sc]e)", "wtfpl"),
+    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[sc]e)", "wtfpl fuck"),
     ("python-2.0", r"python software foundation licen[sc]e(?: version 2)?", "python"),
     ("php-3.01", r"php licen[sc]e(?: version)?(?: 3 01)?", "php"),
     ("ruby", r"ruby licen[sc]e", "ruby"),
@@ -78,7 +78,7 @@ FAMILIES = [
     ("odbl-1.0", r"open (?:data commons open )?database licen[sc]e(?: (?:version )?1 0)?", "database"),
     ("odc-by-1.0", r"open data commons attribution licen[sc]e", "commons"),
     ("pddl-1.0", r"public domain dedication and licen[sc]e", "dedication"),
-    ("cc0-1.0", r"(?:cc0(?: 1 0)?|creative commons zero(?: 1 0)?)", "cc0"),
+    ("cc0-1.0", r"(?:cc0(?: 1 0)?|creative commons zero(?: 1 0)?)", "cc0 zero"),
     ("cc-by-sa", r"cc by sa(?: \d 0)?", "cc"),
     ("cc-by-nc", r"cc by nc(?: \d 0)?", "cc"),
     ("cc-by-nd", r"cc by nd(?: \d 0)?", "cc"),
@@ -131,7 +131,7 @@ class Rule:
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules by priority: notices of weight 0.8 or more with the grants, the names last."""
-    raw = [(w, label, frame.format(f"(?:{name})"), (frozenset({key}), frozenset(gate)) if gate else (frozenset({key}),), k) for k, (w, frame, gate) in enumerate(FRAMES) for label, name, key in FAMILIES]
+    raw = [(w, label, frame.format(f"(?:{name})"), (frozenset(key.split()), frozenset(gate)) if gate else (frozenset(key.split()),), k) for k, (w, frame, gate) in enumerate(FRAMES) for label, name, key in FAMILIES]
     raw += [(w, label, text, (frozenset(gate),), 1 if w >= 0.8 else 3) for label, w, text, gate in NOTICES]
     raw.sort(key=lambda x: (x[4], -x[0], -len(x[2]), x[1]))
     return tuple(Rule(label, w, re.compile(rf"(?:^|(?<= )){text}(?![^ ])"), gates, k) for w, label, text, gates, k in raw)
