@@ -48,3 +48,10 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = ordered([tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()])
     assert got == want
+
+
+def test_every_part_is_explained(spark):
+    n = spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert QUERIES["m23_factor_shapley"](spark, DATA).groupBy("p_partkey").count().filter("count = 3").count() == n
+    assert {r["n"] for r in QUERIES["m26_two_backgrounds"](spark, DATA).collect()} == {n}
+    assert sum(r["n"] for r in QUERIES["w08_top_factor"](spark, DATA).collect()) == n
