@@ -1,77 +1,101 @@
 """Connected components of a graph in a DataFrame, by alternating large and small stars.
 
 Every round joins each node's neighbours to the smallest node it knows of; a few rounds leave stars around the smallest
-node of each component. Each round is written to the shared folder. Only two numbers a round reach the driver.
+node of each component. Each round is written to the shared folder. Only whether it is done reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
 
+#: Ids are broadcast up to this many rows (of 16 bytes), beyond that what they select is shuffled to them.
+SENT = 1_000_000
+#: Of each kind, so many others of a mixed bucket are compared with each of its nodes; so many next sketches make one of its orders.
+DRAWS, PATH = 3, 3
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.coalesce(F.bool_or((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)), F.lit(False))).first()[0]
+
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge to another node; root is the smallest node of its component."""
     one, two = F.col(a), F.col(b)
     now = edges.filter(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v"))
-    now, mark = scratch.table(now.dropDuplicates(), "edges"), None
-    while True:
+    now = scratch.table(now.dropDuplicates(), "edges")
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.dropDuplicates()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(least, F.col("u") == F.col("w")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.table(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).dropDuplicates(), "edges")
-        found = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         scratch.drop(now)
         now = new
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).dropDuplicates())
 
 
-def linked(member: DataFrame, verified, limit, size: str) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
+    """(x): the nodes of the pairs, once each; broadcast where a count shows that they are few."""
+    ids = scratch.table(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).dropDuplicates(), "ids")
+    return sent(ids)
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, broadcast up to SENT rows, else shuffled by whatever joins it."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS) -> DataFrame:
     """(node, root) of the nodes that are near another node of a bucket.
 
-    member: (sketch, node, size); nodes of equal sketch share a bucket. Nearness is a metric: verified(pairs of a and b)
-    gives each pair its distance d, null if that is more than twice the limit, and whether it is near, at most limit(size, size);
-    d is never below the difference of sizes.
+    nodes: (node, size, sketches), each node once; nodes of equal sketch share a bucket. contents(ids) gives node and what near()
+    needs of each node x of ids; near(pairs of a and b, contents) gives the pairs that are near; may(size, size) must hold for
+    near pairs.
 
-    All nodes of a bucket are compared with its smallest node. Of buckets whose nodes are then in several components, the nodes
-    outside the bucket's largest component are compared with the nodes of other components, unless the distances of both to the
-    bucket's smallest node rule it out by the triangle inequality. What isn't compared is joined already or can't be near.
+    All nodes of a bucket are compared with its smallest node, and near ones joined. In buckets whose nodes are then in several
+    components, each node is compared with 2 * draws more, if they aren't in its component: `draws` nodes of the bucket drawn by
+    hash, and those before it in `draws` orders, each an order of the bucket's nodes by some of their next sketches, which brings
+    nodes together that share more sketches. So a bucket costs comparisons in proportion to its nodes, however many they are,
+    and every bucket is treated alike.
     """
-    s = F.col(size)
-    bucket = member.groupBy("sketch").agg(F.min(F.struct("node", size)).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    bucket = bucket.select("sketch", F.col("lead.node").alias("lead"), F.col(f"lead.{size}").alias("lead_size"))
-    member = scratch.table(member.join(bucket, "sketch"), "buckets")
-    may = F.abs(s - F.col("lead_size")) <= limit(s, F.col("lead_size"))
-    star = member.filter(F.col("node") != F.col("lead")).filter(may).select(F.col("lead").alias("a"), F.col("node").alias("b")).dropDuplicates()
-    star = scratch.table(verified(scratch.table(star, "pairs")), "distances")
-    roots = scratch.table(connected(star.filter("near")), "roots")
-
-    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_root = member.groupBy("sketch", "root").count()
-    mixed = of_root.groupBy("sketch").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).filter("n > 1")
-    member = member.join(mixed.select("sketch", "main"), "sketch")
-    known = star.select(F.col("a").alias("lead"), F.col("b").alias("node"), "d", F.lit(True).alias("tried"))
-    member = member.join(known, ["lead", "node"], "left")
-    own = F.col("node") == F.col("lead")
-    least = F.when(own, 0.0).when(F.col("d").isNotNull(), F.col("d")).when(F.col("tried"), 2 * limit(s, F.col("lead_size"))).otherwise(F.abs(s - F.col("lead_size")))
-    member = scratch.table(member.select("sketch", "node", size, "root", "main", least.cast("double").alias("least"), (own | F.col("d").isNotNull()).alias("exact")), "mixed")
-
-    odd = member.filter(F.col("root") != F.col("main")).select("sketch", F.col("node").alias("x"), F.col("root").alias("rx"), F.col(size).alias("nx"), F.col("least").alias("lx"), F.col("exact").alias("ex"))
-    most = limit(F.col("nx"), s)
-    ruled_out = (F.abs(F.col("nx") - s) > most) | (F.col("exact") & (F.col("lx") - F.col("least") > most)) | (F.col("ex") & (F.col("least") - F.col("lx") > most))
-    rest = odd.join(member, "sketch").filter(F.col("rx") != F.col("root")).filter(~ruled_out)
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).dropDuplicates()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.table(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
+    bucket = Window.partitionBy("sketch")
+    member = nodes.select("node", "size", F.posexplode("sketches").alias("j", "sketch"))
+    member = member.withColumn("lead", F.min(F.struct("node", "size")).over(bucket)).withColumn("n", F.count("*").over(bucket))
+    member = member.filter("n > 1").select("sketch", "j", "node", "size", "lead")
+    member = scratch.table(member, "buckets")
+    star = member.filter((F.col("node") != F.col("lead.node")) & may(F.col("size"), F.col("lead.size")))
+    star = scratch.table(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
+    links = scratch.table(near(star, contents(_ids(star))), "links")
+    roots = scratch.table(connected(links), "roots")
+
+    root = F.coalesce("root", "node")
+    mixed = member.select("sketch", "j", "node", "size").join(roots, "node", "left").withColumn("root", root)
+    mixed = scratch.table(mixed.withColumn("several", F.min("root").over(bucket) != F.max("root").over(bucket)).filter("several").drop("several"), "mixed")
+    scratch.drop(member)
+    ids = sent(scratch.table(mixed.select(F.col("node").alias("x")).dropDuplicates(), "ids"))
+    following = F.slice(F.concat("sketches", "sketches"), F.col("j") + 2, F.least(F.lit(PATH * draws), F.size("sketches")))
+    paths = nodes.join(ids, F.col("node") == F.col("x"), "left_semi").select(F.col("node").alias("x"), "sketches")
+    mixed = mixed.join(paths, F.col("node") == F.col("x")).select("sketch", "node", "size", "root", following.alias("path"))
+    mine, others = F.struct("node", "size", "root"), {}
+    for turn in range(draws):
+        others[f"drawn{turn}"] = F.min(F.struct(F.xxhash64("node", "sketch", F.lit(turn)).alias("by"), mine.alias("it"))).over(bucket)["it"]
+        others[f"before{turn}"] = F.lag(mine).over(bucket.orderBy(F.slice("path", PATH * turn + 1, PATH), "node"))
+    places = scratch.table(mixed.select("node", "size", "root", *[c.alias(n) for n, c in others.items()]), "places")
+    apart = lambda o: (F.col("root") != F.col(f"{o}.root")) & may(F.col("size"), F.col(f"{o}.size"))
+    pairs = [places.filter(apart(o)).select(F.least("node", f"{o}.node").alias("a"), F.greatest("node", f"{o}.node").alias("b")) for o in others]
+    pairs = scratch.table(reduce(DataFrame.unionByName, pairs).dropDuplicates(), "pairs")
+    more = scratch.table(near(pairs, contents(_ids(pairs))), "links")
+    if more.isEmpty():
         return roots
-    return connected(verified(rest).filter("near").select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
