@@ -56,12 +56,12 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SENT else table
 
 
-def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS) -> DataFrame:
+def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS, at_once: bool = False) -> DataFrame:
     """(node, root) of the nodes that are near another node of a bucket.
 
     nodes: (node, size, sketches), each node once; nodes of equal sketch share a bucket. contents(ids) gives node and what near()
     needs of each node x of ids; near(pairs of a and b, contents) gives the pairs that are near; may(size, size) must hold for
-    near pairs.
+    near pairs. With at_once, contents() is asked once for all nodes of buckets, else for those of the pairs only, twice.
 
     All nodes of a bucket are compared with its smallest node, and near ones joined. In buckets whose nodes are then in several
     components, each node is compared with 2 * draws more, if they aren't in its component: `draws` nodes of the bucket drawn by
@@ -76,7 +76,9 @@ def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS) -> DataFra
     member = scratch.table(member, "buckets")
     star = member.filter((F.col("node") != F.col("lead.node")) & may(F.col("size"), F.col("lead.size")))
     star = scratch.table(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
-    links = scratch.table(near(star, contents(_ids(star))), "links")
+    held = contents(sent(scratch.table(member.select(F.col("node").alias("x")).dropDuplicates(), "ids"))) if at_once else None
+    of = lambda pairs: held if at_once else contents(_ids(pairs))
+    links = scratch.table(near(star, of(star)), "links")
     roots = scratch.table(connected(links), "roots")
 
     root = F.coalesce("root", "node")
@@ -95,7 +97,7 @@ def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS) -> DataFra
     apart = lambda o: (F.col("root") != F.col(f"{o}.root")) & may(F.col("size"), F.col(f"{o}.size"))
     pairs = [places.filter(apart(o)).select(F.least("node", f"{o}.node").alias("a"), F.greatest("node", f"{o}.node").alias("b")) for o in others]
     pairs = scratch.table(reduce(DataFrame.unionByName, pairs).dropDuplicates(), "pairs")
-    more = scratch.table(near(pairs, contents(_ids(pairs))), "links")
+    more = scratch.table(near(pairs, of(pairs)), "links")
     if more.isEmpty():
         return roots
     return connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
