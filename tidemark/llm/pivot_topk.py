@@ -7,12 +7,15 @@ from below for each pivot p, the largest bound counts, and it turns into an uppe
 block are evaluated in the order of these bounds until the next bound is below the k-th best score known: from there on
 no row can enter. Pivots are rows themselves, so their exact scores give every query a first k-th best score.
 
-Rows and queries meet in blocks, one task for each pair of blocks: no task holds more than `row_block` rows and `query_block`
-queries, and each pair of rows is met once.
+Rows are dealt to their nearest pivot. From the least and largest distance of such a cluster's rows to every pivot follows a bound for all
+of them at once, so that a query is sent only to clusters that may hold one of its k best. Rows of a cluster and the queries sent to it meet
+in blocks, one task for each pair of blocks: no task holds many more than `row_block` rows and `query_block` queries, and each pair of rows
+is met once at most. Rows with a component beyond LIMIT meet the queries in such blocks without bounds, in integers of any size.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,21 +27,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import shipping
-from tidemark.llm import scratch
+from tidemark.llm import components, scratch
 
 SCALE = 1024
-LIMIT = 1 << 28
+#: Scaled components below this are handled in 64 bits, larger ones as integers of any size.
+LIMIT = 1 << 20
+#: Integers of any size are ordered as arrays of limbs of 62 bits; 40 hold the product of any two doubles, scaled and summed.
+LIMBS, LIMB = 40, (1 << 62) - 1
 
 
-def prepared(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, v): integer vectors of the rows that take part.
+def finite_rows(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, e, wide): the rows that take part, wide where a scaled component reaches LIMIT.
 
-    Rows whose id or vector is null, whose vector holds a null, NaN or infinite component, or whose scaled components
-    reach 2^28 (scores might pass 64 bits), don't.
+    Rows whose id or vector is null, or whose vector holds a component that is null, NaN or infinite, or is so once scaled, don't.
     """
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT / SCALE)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * SCALE < float("inf"))
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("e").isNotNull()).filter(F.coalesce(F.forall("e", finite), F.lit(False)))
+    return rows.withColumn("wide", F.exists("e", lambda x: F.abs(x) >= LIMIT / SCALE))
+
+
+def prepared(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, v): integer vectors of the rows that take part and aren't wide."""
+    rows = finite_rows(vectors, id, embedding).filter(~F.col("wide"))
     return rows.select("id", F.transform("e", lambda x: F.floor(x * SCALE).cast("int")).alias("v"))
 
 
@@ -139,48 +150,145 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, table: np.ndarray, q: np.ndarr
             yield i, got_ids, got
 
 
+@dataclass
+class Cluster:
+    """The rows nearest to one pivot: how many they are, and their least and largest distance to every pivot."""
+
+    number: int
+    rows: int
+    least: np.ndarray
+    most: np.ndarray
+    first: int = 0  # its blocks are first..first+blocks-1
+    blocks: int = 1
+
+
+def clusters_of(table: DataFrame, pivots: int, row_block: int, cores: int) -> list[Cluster]:
+    """One for each pivot at most, with blocks of about row_block rows; small tables still get a block for each core."""
+    sides = [f(F.col("far")[j]).alias(f"{n}{j}") for j in range(pivots) for n, f in (("l", F.min), ("m", F.max))]
+    found = table.groupBy("near").agg(F.count("*").alias("n"), *sides).orderBy("near").collect()  # a row for each pivot at most
+    out, first, all_rows = [], 0, sum(r["n"] for r in found)
+    size = min(row_block, max(1024, math.ceil(all_rows / cores)))
+    for r in found:
+        c = Cluster(r["near"], r["n"], np.array([r[f"l{j}"] for j in range(pivots)]), np.array([r[f"m{j}"] for j in range(pivots)]), first, math.ceil(r["n"] / size))
+        out.append(c)
+        first += c.blocks
+    return out
+
+
+def routed(q: np.ndarray, q_ids: np.ndarray, pivots: Pivots, clusters: list[Cluster], k: int) -> np.ndarray:
+    """Whether each cluster (column) may hold one of the k best of each query (row)."""
+    q, p = pivots.fit(q)
+    far, scale = pivots.distances(q, True), (q**2).sum(1) + pivots.norm
+    known = np.where(pivots.ids[None, :] == q_ids[:, None], -np.inf, q @ p.T)
+    floor = np.sort(known, 1)[:, -k] if len(p) >= k else np.full(len(q), -np.inf)
+    out = np.ones((len(q), len(clusters)), bool)
+    for i, c in enumerate(clusters):
+        low = np.maximum(np.maximum(far - c.most, c.least - far).max(1, initial=0), 0)
+        most = (scale - np.maximum(low - 1e-6 * np.sqrt(scale + 1), 0) ** 2) / 2 + 1e-6 * scale + 1
+        out[:, i] = most >= floor - 1e-6 * scale
+    return out
+
+
+def limbs(score: int) -> list[int]:
+    """An integer as an array that orders as it does."""
+    return [score >> 62 * (LIMBS - 1), *[(score >> 62 * i) & LIMB for i in range(LIMBS - 2, -1, -1)]]
+
+
+def _limbs(score: Column) -> Column:
+    """limbs() of a 64-bit score whose absolute value is below 2^62."""
+    fill = lambda top, rest: F.array(F.lit(top).cast("long"), *[F.lit(rest).cast("long")] * (LIMBS - 2), score.bitwiseAND(F.lit(LIMB)))
+    return F.when(score < 0, fill(-1, LIMB)).otherwise(fill(0, 0))
+
+
+def wide_pairs(rows: DataFrame, is_query: Column, k: int, row_block: int, query_block: int, wide: int, count: int, queries: int) -> DataFrame:
+    """(number, query_id, vec_id, score, key) of pairs of which a row is wide, each query's k best of every block. rows: finite_rows()"""
+    whole = lambda x: F.when(F.abs(x) * SCALE < float(1 << 53), F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)
+    rows = rows.select("id", "wide", F.transform("e", whole).alias("v")).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    rows = scratch.table(rows, "wide-vectors")
+    asked = rows.filter(is_query).select("id", "v", "wide").dropDuplicates(["id", "v"]).withColumn("number", F.xxhash64("id", "v"))
+    parts = []
+    for right, left, n, m in ((asked.filter("wide"), rows, count, min(wide, queries)), (asked.filter("not wide"), rows.filter("wide"), wide, queries)):
+        row_blocks, query_blocks = max(1, math.ceil(n / row_block)), max(1, math.ceil(m / query_block))
+        left = left.withColumn("block", F.pmod("spread", F.lit(row_blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        right = right.withColumn("query_block", F.pmod("number", F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
+        left, right = left.select("block", "query_block", "id", "v"), right.select("block", "query_block", F.col("id").alias("q_id"), F.col("v").alias("q"), "number")
+
+        def search(a: pa.Table, b: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            both = a.num_rows and b.num_rows  # a side without rows has no columns
+            ids, vectors = (a["id"].to_pylist(), [[int(x) for x in v] for v in a["v"].to_pylist()]) if both else ([], [])
+            for q_id, v, number in zip(b["q_id"].to_pylist(), b["q"].to_pylist(), b["number"].to_pylist(), strict=True) if both else ():
+                q = [int(x) for x in v]
+                best = heapq.nsmallest(k, ((-sum(x * y for x, y in zip(q, w, strict=False)), i) for i, w in zip(ids, vectors, strict=True) if i != q_id))
+                out += [(number, q_id, i, max(min(-s, 2**63 - 1), -(2**63)), limbs(-s)) for s, i in best]
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["number", "query_id", "vec_id", "score", "key"])
+
+        keys = ["block", "query_block"]
+        parts.append(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "number long, query_id long, vec_id long, score long, key array<long>"))
+    return parts[0].unionByName(parts[1])
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 32, sample: int = 1024, row_block: int = 65536, query_block: int = 16384, id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k best other rows by inner product, ties to smaller ids.
 
-    is_query is a condition on the column `id` of the prepared rows. Rows that take no part: see prepared(). A query's own id
+    is_query is a condition on the column `id` of the prepared rows. Rows that take no part: see finite_rows(). A query's own id
     is no candidate for it; a repeated id is a candidate once for each of its rows, and equal query rows are one query.
-    A shorter vector counts as padded with zeros. Queries of fewer than k candidates get all of them; no rows, none.
+    A shorter vector counts as padded with zeros. A score beyond 64 bits is ranked as it is and shown as the nearest long. Queries of
+    fewer than k candidates get all of them; no rows, none.
     """
     spark = vectors.sparkSession
     shipping.ensure(spark)
+    every = finite_rows(vectors, id, embedding)
+    count, wide, queries = every.agg(F.count("*"), F.count_if("wide"), F.count_if(is_query)).first()
     rows = prepared(vectors, id, embedding)
-    count, queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     chosen = choose_pivots(rows, pivots, sample)
-    cores = spark.sparkContext.defaultParallelism
-    row_blocks = max(1, math.ceil(count / row_block), min(cores, count // 1024))
-    query_blocks = max(1, math.ceil(queries / query_block))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             far = chosen.distances(matrix(b.column(1)), False) if b.num_rows else np.zeros((0, len(chosen.ids)))
             table = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1) * far.shape[1], pa.int32()), pa.array(far.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), table], ["id", "v", "far"])
+            near = far.argmin(1) if far.size else np.zeros(len(far), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), table, pa.array(near, pa.int32())], ["id", "v", "far", "near"])
+
+    table = rows.mapInArrow(measure, "id long, v array<int>, far array<double>, near int")
+    table = scratch.table(table.withColumn("spread", F.xxhash64(F.monotonically_increasing_id())), "pivot-table")
+    clusters = clusters_of(table, len(chosen.ids), row_block, spark.sparkContext.defaultParallelism)
+    query_blocks = max(1, math.ceil(queries / query_block))
+    first, blocks = (F.create_map(*[F.lit(x) for c in clusters for x in (c.number, v(c))], F.lit(-1), F.lit(1)) for v in (lambda c: c.first, lambda c: c.blocks))
+    table = table.withColumn("block", (first[F.col("near")] + F.pmod("spread", blocks[F.col("near")])).cast("int")).select("block", "id", "v", "far")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                may = routed(matrix(part.column(1)), part.column(0).to_numpy(), chosen, clusters, k)
+                to = [[x for c, yes in zip(clusters, m, strict=True) if yes for x in range(c.first, c.first + c.blocks)] for m in may]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to, pa.list_(pa.int32()))], ["q_id", "q", "number", "blocks"])
 
-    table = rows.mapInArrow(measure, "id long, v array<int>, far array<double>")
-    table = scratch.table(table.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")), "pivot-table")
-    asked = table.filter(is_query).select("id", "v").dropDuplicates(["id", "v"]).withColumn("number", F.xxhash64("id", "v"))
-    asked = asked.withColumn("query_block", F.pmod("number", F.lit(query_blocks)).cast("int"))
-    left = table.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    asked = table.filter(is_query).select("id", "v").dropDuplicates(["id", "v"]).withColumn("number", F.xxhash64("id", F.col("v").cast("array<double>")))
+    asked = scratch.table(asked.mapInArrow(route, "q_id long, q array<int>, number long, blocks array<int>"), "asked")
+    right = asked.withColumn("query_block", F.pmod("number", F.lit(query_blocks)).cast("int")).withColumn("block", F.explode("blocks")).drop("blocks")
+    met = scratch.table(right.select("block", "query_block").dropDuplicates(), "met")  # no more than pairs of blocks
+    left = table.join(components.sent(met), "block")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if a.num_rows and b.num_rows:
-            ids, q_ids = a["id"].to_numpy(), b["id"].to_numpy()
+            ids, q_ids = a["id"].to_numpy(), b["q_id"].to_numpy()
             x, far = matrix(a["v"]), matrix(a["far"], len(chosen.ids))
-            for i, got, score in best_of_block(ids, x, far, matrix(b["v"]), q_ids, chosen, k):
+            for i, got, score in best_of_block(ids, x, far, matrix(b["q"]), q_ids, chosen, k):
                 out.append((np.full(len(got), b["number"][i].as_py()), np.full(len(got), q_ids[i]), got, score))
         parts = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(4)]
         return pa.table([pa.array(p, pa.int64()) for p in parts], ["number", "query_id", "vec_id", "score"])
 
     keys = ["block", "query_block"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "number long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
+    order = [F.desc("score"), "vec_id"]
+    if wide:
+        near = near.withColumn("key", _limbs(F.col("score"))).unionByName(wide_pairs(every, is_query, k, row_block, query_block, wide, count, queries))
+        order = [F.desc("key"), "vec_id"]
+    rank = F.row_number().over(W.partitionBy("number").orderBy(*order))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
