@@ -61,3 +61,15 @@ def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, "x " * 700_000 + "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate.digest(decontaminate.contamination(docs, items)).collect()] == [(700_003, 3, 1)]
+
+
+def test_rows_of_one_id_stay_apart_for_any_size_of_blocks(spark):
+    rows = [(1, "z a b c d e f g h i j k"), (1, "x a"), (None, "a b c d e f g h i j"), (None, "q"), (2, "m n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "m n"), (3, "x")], "item_id long, text string")
+    want = sorted((str(r[0]), r[1], r[2], r[3]) for r in decontaminate.digest(decontaminate.contamination(docs, items)).collect())
+    assert want == [("1", 2, 1, 1), ("1", 12, 11, 1), ("2", 2, 2, 1), ("None", 1, 0, 0), ("None", 10, 10, 1)]
+    for block in (1, 2):
+        got = decontaminate.digest(decontaminate.contamination(docs, items, block=block)).collect()
+        assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got) == want
+        assert decontaminate.uncontaminated(docs, items, block=block).count() == 1

@@ -8,7 +8,8 @@ word k of the window, can only be an occurrence that starts at p - k: that start
 (positional and length bounds), the hashes of all words must agree, and last the words themselves.
 
 Documents are read twice, once to count the shingles, once to look them up, and never shuffled. Windows go to the
-tasks in blocks of at most `block` windows, a bound that does not depend on the data; more windows mean more blocks.
+tasks in blocks of about `block` windows, a bound that does not depend on the data; more windows mean more blocks, each
+a further map over the documents. All blocks are on the driver in the end: it holds the benchmark, not what it occurs in.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Lookup:
 
 
 def windows_of(benchmark: DataFrame, window: int, block: int, id: str, text: str) -> Iterator[Windows]:
-    """Blocks of the benchmark's windows; the driver holds one block at a time."""
+    """Blocks of the benchmark's windows."""
     seen: dict[tuple[bytes, ...], list[str]] = {}
     for row in benchmark.select(F.col(id).cast("string"), F.col(text).cast("string")).orderBy(id, text).toLocalIterator():
         found = words.split_words(row[1])
@@ -134,31 +135,29 @@ def _occurrences(block: Windows):
     return find
 
 
-def scan(docs: DataFrame, blocks: list[Windows], id: str, text: str) -> DataFrame:
-    """(id, n_words, hits: [first word, end] of every occurrence, items) for each row; blocks have their prefixes."""
+def scan(rows: DataFrame, block: Windows, last: bool) -> DataFrame:
+    """rows (doc_id, text, n_words, spans, items) after one more block of windows, whose prefixes are chosen; the last one leaves the text behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [(b, _occurrences(b)) for b in blocks]
+        find = _occurrences(block)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            out = []
+            counts: list[np.ndarray] = []
+            spans = [[(x["start"], x["end"]) for x in found] for found in batch.column(3).to_pylist()]
+            items = [set(found) for found in batch.column(4).to_pylist()]
             for g in words.word_groups(batch.column(1)):
-                row = g.row_of_words()
-                spans, items = [[] for _ in range(g.last - g.first)], [set() for _ in range(g.last - g.first)]
-                for block, find in finders:
-                    for r, s, k in find(g, row):
-                        s -= int(g.at[r])
-                        spans[r].append((s, s + int(block.lengths[k])))
-                        items[r].update(block.items[k])
-                for n, sp, it in zip(np.diff(g.at).tolist(), spans, items, strict=True):
-                    out.append((n, merge(sp), sorted(it)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], kind), pa.array([x[2] for x in out], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
-            )
-
-    kind = dict(docs.dtypes)[id]
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+                for r, s, k in find(g, g.row_of_words()):
+                    s -= int(g.at[r])
+                    spans[g.first + r].append((s, s + int(block.lengths[k])))
+                    items[g.first + r].update(block.items[k])
+                counts.append(np.diff(g.at))
+            made = [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in merge(x)] for x in spans], kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            own = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*own, *made], names)
+
+    names = ["doc_id", *["text"] * (not last), "n_words", "spans", "items"]
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -191,34 +190,16 @@ def contamination(
     A null or empty text has no words and no hits; an item without words has no windows; an item with a null id is
     looked for and leaves spans, but no id; repeated rows each get their own result; an empty benchmark hits nothing;
     no rows give no rows. Other columns of either table are not looked at. More than `block` windows are looked up in
-    several scans, whose results are joined by summing the spans of each row (docs needs different ids then).
+    several scans, one after the other on the same rows, so that the result does not depend on `block`.
     """
     shipping.ensure(docs.sparkSession)
-    parts = list(prepared_scans(docs, benchmark, window, block, id, text, item_id, item_text))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return every.withColumn("spans", union_of(F.col("spans")))
-
-
-def prepared_scans(docs, benchmark, window, block, id, text, item_id, item_text) -> Iterator[DataFrame]:
-    for b in prepared(docs, benchmark, window, block, item_id, item_text, text):
-        yield scan(docs, [b], id, text)
-
-
-def union_of(spans):
-    """The union of an array of spans, as merge() gives it."""
-    zero = F.array().cast("array<struct<start:long,end:long>>")
-
-    def add(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(F.size(done) == 0, F.array(x)).when(x["start"] <= F.try_element_at(done, F.lit(-1))["end"], joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), zero, add)
+    blank = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items")]
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"), *blank)
+    blocks = prepared(docs, benchmark, window, block, item_id, item_text, text)
+    now = next(blocks)
+    for following in blocks:
+        rows, now = scan(rows, now, False), following
+    return scan(rows, now, True)
 
 
 def digest(found: DataFrame) -> DataFrame:
