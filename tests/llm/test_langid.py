@@ -32,8 +32,8 @@ def grams(t):
 def test_counts_are_those_of_a_plain_count(monkeypatch):
     import pyarrow as pa
 
-    t = "The, Über x1\nthe the"
-    for piece in (1 << 22, 8):
+    t = "The, Über x1\nthe the. 語語言,学の " + "wörterohneleerraum" * 3
+    for piece in (1 << 22, 1, 2, 3, 7, 8, 40):
         monkeypatch.setattr(langid, "_PIECE", piece)
         batch = pa.RecordBatch.from_arrays([pa.array(["aa"]), pa.array([t])], ["lang", "text"])
         got = {}

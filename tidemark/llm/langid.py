@@ -42,10 +42,21 @@ def _letters() -> np.ndarray:
 
 @dataclass
 class Stream:
-    """Letters of rows; 0 stands before, after and between words, once each. row: of each letter."""
+    """Letters of rows; 0 stands before, after and between words, once each. row: of each letter.
+
+    The first and the last place only show what stands beside the others: n-grams are counted where they are centred between them,
+    pairs where they begin there or, in a stream that begins its row, at the first place.
+    """
 
     letters: np.ndarray
     row: np.ndarray
+    begins: bool = True
+
+    def inner(self) -> np.ndarray:
+        """The letters that are counted."""
+        is_letter = self.letters != 0
+        is_letter[:1] = is_letter[-1:] = False
+        return is_letter
 
 
 def stream(data: np.ndarray, bounds: np.ndarray) -> Stream:
@@ -64,21 +75,33 @@ def stream(data: np.ndarray, bounds: np.ndarray) -> Stream:
     return Stream(out[keep], of[keep])
 
 
-def streams(column: pa.Array) -> Iterator[tuple[int, int, list[Stream]]]:
-    """(first row, last row, streams) of groups of rows; a very long row comes in pieces, cut at spaces where it can be."""
+def streams(column: pa.Array) -> Iterator[tuple[int, int, Iterator[Stream]]]:
+    """(first row, last row, streams) of groups of rows. A very long row comes in pieces, each of which begins with the last two places
+    of the one before, so that every n-gram is counted once, wherever the cuts are."""
     offsets, data = words.strings(column)
     for first, last in words.row_groups(offsets):
         lo, hi = int(offsets[first]), int(offsets[last])
         if hi - lo <= _PIECE:
-            yield first, last, [stream(data[lo:hi], offsets[first : last + 1] - lo)]
-            continue
-        cuts = [lo]
-        while hi - cuts[-1] > _PIECE:
-            part = data[cuts[-1] : cuts[-1] + _PIECE]
-            spaces = np.flatnonzero(part[_PIECE // 2 :] == 32)
-            cut = int(spaces[-1]) + _PIECE // 2 if len(spaces) else int(np.flatnonzero((part & 0xC0) != 0x80)[-1])
-            cuts.append(cuts[-1] + max(cut, 1))
-        yield first, last, (stream(data[a:b], np.array([0, b - a])) for a, b in zip(cuts, [*cuts[1:], hi], strict=True))
+            yield first, last, iter([stream(data[lo:hi], offsets[first : last + 1] - lo)])
+        else:
+            yield first, last, _pieces(data[lo:hi])
+
+
+def _pieces(data: np.ndarray) -> Iterator[Stream]:
+    held, begins, at = np.zeros(1, np.int32), True, 0
+    while at < len(data):
+        end = min(at + _PIECE, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:  # inside a character
+            end += 1
+        points = np.frombuffer(data[at:end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        at = end
+        letters = np.concatenate([held, _letters()[points], np.zeros(int(at == len(data)), np.int32)])
+        keep = np.ones(len(letters), bool)
+        keep[1:] = (letters[1:] != 0) | (letters[:-1] != 0)
+        held = letters[keep]
+        if len(held) > 2 or at == len(data):
+            yield Stream(held, np.zeros(len(held), np.int32), begins)
+            held, begins = held[-2:], False
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +121,10 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = s.letters.astype(np.int64) + 1  # the space is 1, nothing is 0
                 y, z = np.append(x[1:], 1), np.append(x[2:], [1, 1])
                 of = np.array([langs.index(v) for v in langs])[first + s.row] if len(s.row) else s.row
-                letter = s.letters != 0
-                nearest = np.where(letter, of, np.append(of[1:], 0))
-                grams = [(x[letter], of[letter]), ((x << _BITS | y)[:-1], nearest[:-1])]
+                letter = s.inner()
+                nearest = np.where(s.letters != 0, of, np.append(of[1:], 0))
+                own = slice(0 if s.begins else 1, -1)
+                grams = [(x[letter], of[letter]), ((x << _BITS | y)[own], nearest[own])]
                 inner = np.append(letter[1:], False)
                 grams.append(((x << 2 * _BITS | y << _BITS | z)[inner], np.append(of[1:], 0)[inner]))
                 for g, o in grams:
@@ -154,11 +178,11 @@ class Profiles:
     def counts(self, s: Stream, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row * space + code, count) of the n-grams of a stream."""
         x = numbers[s.letters]
-        letter, row = s.letters != 0, s.row.astype(np.int64) * self.space
+        letter, row = s.inner(), s.row.astype(np.int64) * self.space
         two = x[:-1] * self.base + x[1:]
-        of_two = np.where(letter[:-1], row[:-1], row[1:])
-        three, inner = two[:-1] * self.base + x[2:], letter[1:-1]
-        return _counted(np.concatenate([(row + x)[letter], of_two + two + self.base, (row[1:-1] + three + self.base + self.base**2)[inner]]))
+        of_two = np.where(s.letters[:-1] != 0, row[:-1], row[1:])
+        three, inner, own = two[:-1] * self.base + x[2:], letter[1:-1], slice(0 if s.begins else 1, None)
+        return _counted(np.concatenate([(row + x)[letter], (of_two + two + self.base)[own], (row[1:-1] + three + self.base + self.base**2)[inner]]))
 
     def distances(self, keys: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(distance of each row to each language, n-grams compared in each row)."""
@@ -180,16 +204,19 @@ class Profiles:
         return out, np.bincount(row, minlength=rows)
 
 
-def fit(train: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP, per_lang: int = PER_LANG) -> Profiles:
-    """Profiles of every non-null language of train, from about per_lang of its rows (all, if it has fewer)."""
+def fit(train: DataFrame, lang: str = "lang", text: str = "text", top: int = TOP, per_lang: int = PER_LANG, id: str | None = None) -> Profiles:
+    """Profiles of every non-null language of train, from about per_lang of its rows (all, if it has fewer).
+
+    Rows are drawn by a hash of text and id, so that copies of a text are drawn one by one; without an id, by the text's alone.
+    """
     shipping.ensure(train.sparkSession)
-    rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text, *[id] * bool(id)).alias("draw")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), top)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.try_element_at(share, F.col("lang")) * float(1 << 32))
-    counts = chosen.mapInArrow(_learn, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    chosen = rows.filter(F.pmod("draw", F.lit(1 << 32)) < F.try_element_at(share, F.col("lang")) * float(1 << 32))
+    counts = chosen.select("lang", "text").mapInArrow(_learn, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("c"), "gram")) - 1
     best = counts.withColumn("rank", rank).filter(F.col("rank") < top).collect()  # top rows for each language at most
     langs = sorted({r["lang"] for r in best})
@@ -241,5 +268,5 @@ def held_out(id: str = "doc_id"):
 
 def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """predict() over docs, fitted on those of them that aren't held out. A null id is in neither part's training."""
-    profiles = fit(docs.filter(F.coalesce(~held_out(id), F.lit(False))), lang, text, **options)
+    profiles = fit(docs.filter(F.coalesce(~held_out(id), F.lit(False))), lang, text, id=id, **options)
     return predict(docs, profiles, text)
