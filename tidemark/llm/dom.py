@@ -22,7 +22,9 @@ ENDS = [
     (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset({"tr", "table", "body"})),
 ]
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+#: Where markup may begin: a comment, a tag with its name, or another declaration.
+OPENS = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|style|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s"'/]|$)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -40,7 +42,7 @@ class Node:
 @dataclass
 class Page:
     nodes: list[Node]
-    texts: list[tuple[int, str]]  # (node, text) in page order; a text of "\n" alone marks where a block begins or ends
+    texts: list[tuple[int, str | None]]  # (node, text) in page order; None marks where a block begins or ends
 
 
 def attribute_tokens(raw: str) -> tuple[str, ...]:
@@ -51,65 +53,108 @@ def attribute_tokens(raw: str) -> tuple[str, ...]:
             out.append("hidden")
         elif name != "style":
             out += [t.lower() for t in TOKEN.findall(value)]
-    return tuple(out[:24])
+    return tuple(out)
+
+
+class Ends:
+    """Where tags of a source end, found in time in proportion to the source, whatever stands in it.
+
+    A tag ends at the first > outside quotes. If its quotes don't balance up to the source's end, it ends at the first > at all.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, {c: source.rfind(c) for c in ">\"'"}
+        self.next = {">": (0, -1), "": (0, -1)}  # sought: (from, place found)
+        self.after: dict[int, int] = {}  # for > and quotes that were met outside quotes, where the tag ends then; -1: nowhere
+
+    def _next(self, sought: str, at: int) -> int:
+        """The first > (or, for "", the first > or quote) from `at` on, which isn't sought twice in the same part."""
+        since, found = self.next[sought]
+        if not since <= at <= found:
+            found = self.source.find(">", at) if sought else m.start() if (m := SPECIAL.search(self.source, at)) else len(self.source)
+            self.next[sought] = (at, found)
+        return found
+
+    def of(self, at: int) -> int:
+        """The end of a tag whose name ends at `at`; -1 if there is no > from there on."""
+        if at > self.last[">"]:
+            return -1
+        chain, place = [], self._next("", at)
+        while place not in self.after:
+            c = self.source[place] if place < len(self.source) else ""
+            if c == ">":
+                self.after[place] = place
+            elif not c or place >= self.last[c]:
+                self.after[place] = -1
+            else:
+                chain.append(place)
+                m = SPECIAL.search(self.source, self.source.index(c, place + 1) + 1)
+                place = m.start() if m else len(self.source)
+        for x in chain:
+            self.after[x] = self.after[place]
+        return self.after[place] if self.after[place] >= 0 else self._next(">", at)
 
 
 def parse(source: str) -> Page:
     nodes, texts, stack, at = [Node("#root", -1, 0)], [], [0], 0
-    size = len(source)
+    size, ends = len(source), Ends(source)
+    open_at: dict[str, list[int]] = {}  # for each tag, the places of its open elements in the stack
+    shuts: dict[str, re.Pattern] = {}
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             n = stack.pop()
             nodes[n].end = len(nodes)
+            if n:
+                open_at[nodes[n].tag].pop()
             if nodes[n].tag in BLOCK:
-                texts.append((stack[-1], "\n"))
+                texts.append((stack[-1], None))
 
     def say(text: str) -> None:
         if text:
             texts.append((stack[-1], html.unescape(text) if "&" in text else text))
 
-    while at < size:
-        m = MARKUP.search(source, at)
-        if not m:
-            say(source[at:])
-            break
-        say(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def innermost(tags) -> int:
+        return max((found[-1] for t in tags if (found := open_at.get(t))), default=0)
+
+    said = 0
+    while m := OPENS.search(source, at):
+        at, tag = m.end(), (m[3] or "").lower()
+        if m[1]:
+            over = source.find("-->", at)
+            end = size if over < 0 else over + 3
+        else:
+            end = (ends.of(at) if tag else ends._next(">", at) if at <= ends.last[">"] else -1) + 1
+            if not end:  # no > is left: not markup
+                continue
+        say(source[said : m.start()])
+        raw, said, at = source[at : end - 1], end, end
         if not tag:
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
-                if nodes[stack[k]].tag in ("td", "th", "table") and tag not in BLOCK:
-                    break
+        if m[2]:
+            k = innermost((tag,))
+            if k and (tag in BLOCK or k >= innermost(("td", "th", "table"))):
+                close(k)
             continue
         for starts, ended, stop in ENDS:
-            if tag in starts:
-                for k in range(len(stack) - 1, 0, -1):
-                    name = nodes[stack[k]].tag
-                    if name in ended:
-                        close(k)
-                        break
-                    if name in stop:
-                        break
-        raw = m[3] or m[6] or ""
+            if tag in starts and (k := innermost(ended)) and k >= innermost(stop):
+                close(k)
         if tag in RAW:
             if not raw.endswith("/"):
-                shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = shut.end() if shut else size
+                shut = shuts.setdefault(tag, re.compile(rf"</{re.escape(tag)}\b", re.I)).search(source, at)
+                over = source.find(">", shut.end()) if shut else -1
+                said = at = over + 1 if over >= 0 else size
             continue
         if tag in BLOCK:
-            texts.append((stack[-1], "\n"))
+            texts.append((stack[-1], None))
         if tag == "br":
             texts.append((stack[-1], " "))
         nodes[stack[-1]].children.append(len(nodes))
         nodes.append(Node(tag, stack[-1], len(stack), attribute_tokens(raw) if raw else (), [], len(nodes) + 1))
         if tag not in VOID:
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
+    say(source[said:])
     close(0)
     return Page(nodes, texts)
 
@@ -212,6 +257,10 @@ def made_page(rng: random.Random) -> tuple[str, list[str]]:
             return f"<main{plain()}>{inner}</main>"
         return f"<div{named('good')}>{inner}</div>"
 
+    if rng.random() < 0.04:  # text without an element around it
+        parts = [rng.choice(["{}", "<b>{}</b>", "<i>{}</i>", '<a href="/x">{}</a>']).format(main_text(1, 60)) if rng.random() < 0.15 else main_text(1, 60) for _ in range(rng.randint(1, 6))]
+        main[:] = [" ".join(main)]
+        return rng.choice(["<br>", "\n", "<br>\n", " "]).join(parts), main
     before = [bad(k) for k in ("notice", "header", "nav", "nav", "ad", "aside", "form") if rng.random() < 0.4]
     rng.shuffle(before)
     content = article()

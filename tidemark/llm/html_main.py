@@ -40,7 +40,7 @@ def node_sums(page: dom.Page) -> np.ndarray:
         own[i, 3] = 1
         own[i, 4] = node.tag in LINK
     for i, text in page.texts:
-        if text.isspace():
+        if not text or text.isspace():
             continue
         t = text.strip()
         own[i, 0] += len(t)
@@ -89,7 +89,7 @@ def features(page: dom.Page, odds: dict[str, float]) -> np.ndarray:
     seen = 0.0
     own = np.zeros(n)
     for i, text in page.texts:
-        own[i] += len(text.strip())
+        own[i] += len(text.strip()) if text else 0
     seen = np.cumsum(own) - own  # in the order of nodes, which is that of the page but for text after children
     start = seen / all_chars
     up = np.maximum(chars[parent], 1)
@@ -115,9 +115,7 @@ def token_odds(pages: list[tuple[dom.Page, np.ndarray]], least: int = 6) -> dict
 def blocks(page: dom.Page, keep: np.ndarray | None = None) -> list[str]:
     out, now = [], []
     for i, text in page.texts:
-        if text == "\n" and not now:
-            continue
-        if text == "\n":
+        if text is None:
             if joined := " ".join("".join(now).split()):
                 out.append(joined)
             now = []
@@ -139,8 +137,8 @@ def labelled(seed: int, pages: int) -> Iterator[tuple[dom.Page, np.ndarray]]:
             left[" ".join(m.split())] += 1
         own, good = np.zeros(len(page.nodes)), np.zeros(len(page.nodes))
         run: list[tuple[int, str]] = []
-        for i, text in [*page.texts, (0, "\n")]:
-            if text != "\n":
+        for i, text in [*page.texts, (0, None)]:
+            if text is not None:
                 run.append((i, text))
                 continue
             joined = " ".join("".join(t for _, t in run).split())
@@ -181,7 +179,7 @@ def decode(page: dom.Page, inside: np.ndarray, around: np.ndarray) -> np.ndarray
     soft = lambda z: -np.logaddexp(0, -z)
     chars = np.zeros(n)
     for i, t in page.texts:
-        chars[i] += len(t.strip())
+        chars[i] += len(t.strip()) if t else 0
     weight = 1 + np.log1p(chars)
     yes, no, amid = weight * soft(inside), weight * soft(-inside), soft(around) - 0.5 * weight * (chars > 0) * np.maximum(inside, 0)
     best = np.zeros((n, 3))  # around, in, out
@@ -194,7 +192,7 @@ def decode(page: dom.Page, inside: np.ndarray, around: np.ndarray) -> np.ndarray
     state = np.zeros(n, np.int64)
     allowed = {0: (0, 1, 2), 1: (1, 2), 2: (2,)}
     for i, node in enumerate(page.nodes):
-        options = allowed[state[node.parent]] if i else (0,)
+        options = allowed[state[node.parent]] if i else (0, 1, 2) if chars[0] else (0,)
         state[i] = max(options, key=lambda s: (best[i, s], s == 1))
     return state == 1
 
