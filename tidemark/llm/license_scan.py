@@ -1,8 +1,8 @@
 """License scan: ordered signature rules over words, gated by keywords, with suppression of contained detections.
 
-Rules are regexes over a text's words joined by one space, in order of priority: an SPDX tag says more than a full
-grant, a grant more than a bare name. A rule is tried only on texts that have one of its keywords; texts without any
-keyword are never joined or matched. A detection whose span of words lies inside that of a rule of higher priority, or of a longer
+Rules (license_rules.py) are regexes over a text's words joined by one space, in order of priority: an SPDX tag says more than
+the text of a license or a grant, these more than a bare name, a name more than a notice. A rule is tried only on texts that have one of
+its keywords, words of which every match has one; texts without any keyword are never joined or matched. A detection whose span of words lies inside that of a rule of higher priority, or of a longer
 one of the same priority, is dropped. Base phrases are counted beside the rules and are never dropped.
 """
 
@@ -11,8 +11,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,151 +19,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import shipping
-from tidemark.llm import words
+from tidemark.llm import license_rules, words
 
 #: Phrase and label of each base detection.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, regex of its name in words, keywords of the name: each text it matches has one of them as a whole word.
-FAMILIES = [
-    ("apache-1.0", r"apache(?: software)? license(?: version)? 1 0", "apache"),
-    ("apache-1.1", r"apache(?: software)? license(?: version)? 1 1", "apache"),
-    ("apache-2.0", r"apache(?: software)? license(?: version)? 2(?: 0)?", "apache"),
-    ("mit", r"(?:the )?mit(?: expat)? licen[sc]e", "mit"),
-    ("mit-0", r"mit no attribution", "attribution"),
-    ("x11", r"x11 licen[sc]e", "x11"),
-    ("isc", r"isc licen[sc]e", "isc"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|simplified bsd|2 clause bsd|freebsd licen[sc]e)", "bsd freebsd"),
-    ("bsd-3-clause", r"(?:bsd 3 clause|new bsd|modified bsd|3 clause bsd|revised bsd)", "bsd"),
-    ("bsd-4-clause", r"(?:bsd 4 clause|original bsd|4 clause bsd)", "bsd"),
-    ("bsd", r"bsd(?: style)? licen[sc]e", "bsd"),
-    ("0bsd", r"(?:0bsd|zero clause bsd)", "bsd 0bsd"),
-    ("gpl-1.0", r"(?:gnu )?general public licen[sc]e(?: \(?gpl\)?)? (?:version|v) ?1", "public"),
-    ("gpl-2.0", r"(?:gnu )?general public licen[sc]e(?: gpl)? (?:version|v) ?2", "public"),
-    ("gpl-3.0", r"(?:gnu )?general public licen[sc]e(?: gpl)? (?:version|v) ?3", "public"),
-    ("gpl-2.0", r"(?:gnu )?gpl ?v?2(?: 0)?", "gpl gpl2 gplv2"),
-    ("gpl-3.0", r"(?:gnu )?gpl ?v?3(?: 0)?", "gpl gpl3 gplv3"),
-    ("gpl-2.0", r"gplv2", "gplv2"),
-    ("gpl-3.0", r"gplv3", "gplv3"),
-    ("gpl", r"gnu gpl", "gpl"),
-    ("gpl", r"(?:gnu )?general public licen[sc]e", "public"),
-    ("lgpl-2.0", r"library general public licen[sc]e(?: version 2)?", "library"),
-    ("lgpl-2.1", r"lesser general public licen[sc]e (?:version|v) ?2 1", "lesser"),
-    ("lgpl-3.0", r"lesser general public licen[sc]e (?:version|v) ?3", "lesser"),
-    ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)", "lgpl lesser"),
-    ("agpl-3.0", r"affero general public licen[sc]e(?: (?:version|v) ?3)?", "affero"),
-    ("agpl-3.0", r"(?:gnu )?agpl ?v?3(?: 0)?", "agpl agpl3 agplv3"),
-    ("fdl-1.3", r"free documentation licen[sc]e(?: (?:version )?1 3)?", "documentation"),
-    ("mpl-1.1", r"mozilla public licen[sc]e(?: (?:version|v))? ?1 1", "mozilla"),
-    ("mpl-2.0", r"mozilla public licen[sc]e(?: (?:version|v))? ?2(?: 0)?", "mozilla"),
-    ("mpl", r"mozilla public licen[sc]e", "mozilla"),
-    ("epl-1.0", r"eclipse public licen[sc]e(?: (?:version|v))? ?1(?: 0)?", "eclipse"),
-    ("epl-2.0", r"eclipse public licen[sc]e(?: (?:version|v))? ?2(?: 0)?", "eclipse"),
-    ("cddl-1.0", r"common development and distribution licen[sc]e(?: (?:version )?1 0)?", "distribution"),
-    ("cpl-1.0", r"common public licen[sc]e(?: (?:version )?1 0)?", "common"),
-    ("artistic-1.0", r"artistic licen[sc]e(?: 1 0)?", "artistic"),
-    ("artistic-2.0", r"artistic licen[sc]e 2 0", "artistic"),
-    ("zlib", r"zlib(?: libpng)? licen[sc]e", "zlib"),
-    ("boost-1.0", r"boost software licen[sc]e(?: version)?(?: 1 0)?", "boost"),
-    ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public licen[sc]e)", "wtfpl fuck"),
-    ("python-2.0", r"python software foundation licen[sc]e(?: version 2)?", "python"),
-    ("php-3.01", r"php licen[sc]e(?: version)?(?: 3 01)?", "php"),
-    ("ruby", r"ruby licen[sc]e", "ruby"),
-    ("openssl", r"openssl licen[sc]e", "openssl"),
-    ("ofl-1.1", r"(?:sil )?open font licen[sc]e(?: (?:version )?1 1)?", "font"),
-    ("eupl-1.2", r"european union public licen[sc]e(?: (?:version |v )?1 2)?", "european"),
-    ("ms-pl", r"microsoft public licen[sc]e", "microsoft"),
-    ("odbl-1.0", r"open (?:data commons open )?database licen[sc]e(?: (?:version )?1 0)?", "database"),
-    ("odc-by-1.0", r"open data commons attribution licen[sc]e", "commons"),
-    ("pddl-1.0", r"public domain dedication and licen[sc]e", "dedication"),
-    ("cc0-1.0", r"(?:cc0(?: 1 0)?|creative commons zero(?: 1 0)?)", "cc0 zero"),
-    ("cc-by-sa", r"cc by sa(?: \d 0)?", "cc"),
-    ("cc-by-nc", r"cc by nc(?: \d 0)?", "cc"),
-    ("cc-by-nd", r"cc by nd(?: \d 0)?", "cc"),
-    ("cc-by-nc-sa", r"cc by nc sa(?: \d 0)?", "cc"),
-    ("cc-by-nc-nd", r"cc by nc nd(?: \d 0)?", "cc"),
-    ("cc-by-4.0", r"cc by 4 0", "cc"),
-    ("cc-by-3.0", r"cc by 3 0", "cc"),
-    ("cc-by-sa", r"creative commons attribution share ?alike(?: \d \d)?(?: international| unported)?", "creative"),
-    ("cc-by-nc", r"creative commons attribution non ?commercial(?: \d \d)?(?: international| unported)?", "creative"),
-    ("cc-by-nd", r"creative commons attribution no derivatives(?: \d \d)?(?: international| unported)?", "creative"),
-    ("cc-by", r"creative commons attribution(?: \d \d)?(?: international| unported)?", "creative"),
-    ("cc", r"creative commons licen[sc]e", "creative"),
-]
-
-#: (weight, regex around a family's name, keywords of the words around it); the order is the priority.
-FRAMES = [
-    (1.0, r"spdx license identifier {}", ("spdx",)),
-    (0.95, r"(?:is |are |be )?(?:licen[sc]ed|released|distributed|available|published|provided|redistributed)(?: (?:to you|for use|only))? under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:gnu )?{}", ("under",)),
-    (0.85, r"(?:licen[sc]e|licen[sc]ed|copying|permission) (?:is |see |the )*{}", ("license", "licence", "licensed", "licenced", "copying", "permission")),
-    (0.7, r"{}", ()),
-]
-
-#: Rules without a family: label, weight, regex, keywords.
-NOTICES = [
-    ("reserved", 0.9, r"all rights (?:are )?reserved", ("reserved",)),
-    ("reserved", 0.8, r"(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", ("vorbehalten", "réservés", "reservados")),
-    ("copyright", 0.6, r"copyright (?:c )?(?:by )?(?:19|20)\d\d", ("copyright",)),
-    ("copyright", 0.4, r"copyright", ("copyright",)),
-    ("public-domain", 0.8, r"(?:released|dedicated|placed|work is|is) (?:in|into|to) the public domain", ("domain",)),
-    ("public-domain", 0.5, r"public domain", ("domain",)),
-    ("proprietary", 0.9, r"(?:proprietary and confidential|confidential and proprietary)", ("proprietary",)),
-    ("proprietary", 0.8, r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", ("unauthorized", "unauthorised")),
-    ("mit", 0.95, r"permission is hereby granted free of charge to any person obtaining a copy", ("hereby",)),
-    ("isc", 0.95, r"permission to use copy modify and or distribute this software for any purpose", ("permission",)),
-    ("bsd", 0.9, r"redistribution and use in source and binary forms", ("redistribution",)),
-    ("warranty", 0.5, r"(?:provided )?as is without warranty", ("warranty",)),
-    ("gpl", 0.8, r"free software you can redistribute it and or modify it", ("redistribute",)),
-]
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    weight: float
-    pattern: re.Pattern
-    gates: tuple[frozenset, ...]  # a text must have a word of each
-    priority: int
-
-
-@lru_cache(1)
-def rules() -> tuple[Rule, ...]:
-    """All rules by priority: notices of weight 0.8 or more with the grants, the names last."""
-    raw = [(w, label, frame.format(f"(?:{name})"), (frozenset(key.split()), frozenset(gate)) if gate else (frozenset(key.split()),), k) for k, (w, frame, gate) in enumerate(FRAMES) for label, name, key in FAMILIES]
-    raw += [(w, label, text, (frozenset(gate),), 1 if w >= 0.8 else 3) for label, w, text, gate in NOTICES]
-    raw.sort(key=lambda x: (x[4], -x[0], -len(x[2]), x[1]))
-    return tuple(Rule(label, w, re.compile(rf"(?:^|(?<= )){text}(?![^ ])"), gates, k) for w, label, text, gates, k in raw)
-
 
 def detect(joined: str, present: frozenset) -> list[tuple[int, int, str, float]]:
     """(first word, end, label, weight) of the detections that are left in words joined by one space."""
-    found = []
+    found: dict[int, set[tuple[int, int, str, float]]] = {}
     spaces: list[int] = []
-    for rule in rules():
-        if not all(gate & present for gate in rule.gates):
+    for rule in license_rules.rules():
+        if not rule.gate & present:
             continue
         if not spaces:
             spaces = [m.start() for m in re.finditer(" ", joined)]
         for m in rule.pattern.finditer(joined):
             first = bisect.bisect_left(spaces, m.start())
-            found.append((rule.priority, first, bisect.bisect_left(spaces, m.end()) + 1, rule.label, rule.weight))
-    found.sort(key=lambda x: (x[0], x[1] - x[2], x[1], x[3]))
+            found.setdefault(rule.priority, set()).add((first, -bisect.bisect_left(spaces, m.end()) - 1, rule.label, -rule.weight))
     kept: list[tuple[int, int, str, float]] = []
-    widest: dict[int, int] = {}  # for each start of a kept span, its largest end
-    starts: list[int] = []
-    for _, a, b, label, weight in found:
-        if any(widest[s] >= b for s in starts[: bisect.bisect_right(starts, a)]):
-            continue
-        if a not in widest:
-            bisect.insort(starts, a)
-        widest[a] = max(b, widest.get(a, 0))
-        kept.append((a, b, label, weight))
+    starts: list[int] = []  # of what higher priorities found, and the largest end of those that start there or before
+    reach: list[int] = []
+    for priority in sorted(found):
+        last, own = 0, sorted(found[priority])
+        for a, b, label, weight in own:
+            k = bisect.bisect_right(starts, a)
+            if -b <= last or k and -b <= reach[k - 1]:  # inside a longer one, or one of higher priority
+                continue
+            last = -b
+            kept.append((a, -b, label, -weight))
+        spans = sorted([*zip(starts, reach, strict=True), *((a, -b) for a, b, _, _ in own)])
+        starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
     return sorted(kept)
 
 
 def _keywords() -> list[str]:
-    return sorted({w for r in rules() for gate in r.gates for w in gate})
+    return sorted({w for r in license_rules.rules() for w in r.gate})
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
