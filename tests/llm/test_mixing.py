@@ -80,3 +80,26 @@ def test_label_weight_of_repeated_labels(spark):
 def test_many_sources_are_joined_by_a_shuffle(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 60}") for i in range(500)], "doc_id long, text string, source string")
     assert sorted(map(str, mixing.mix(docs, small=5).collect())) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_equal_rows_are_told_apart_at_the_edge(spark):
+    rows = [(None, "a b c d", "y")] * 101 + [(i, "w " * (i % 5 + 1), "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    goal = check(got)
+    taken = sorted(r["taken"] for r in got if r["source"] == "y")
+    assert abs(sum(taken) - goal["y"]) <= 2 and len(set(taken)) == 2
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+
+
+def test_no_range_of_keys_is_large_for_any_weight(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "a b", "s") for i in range(20_000)], "doc_id long, text string, source string")
+    for weight in (1e-4, 0.25, 1.0, 2.0, 500.0):
+        got = mixing.mix(mixing.measure(docs).withColumn("__weight", F.lit(weight))).collect()
+        assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 1
+    u = (F.pmod(F.xxhash64("id"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    for weight in (1e-4, 0.25, 500.0):
+        sizes = spark.range(20_000).groupBy(F.floor(256 * F.log2(-F.log(u) / weight))).count().agg(F.max("count")).first()[0]
+        assert sizes < 100

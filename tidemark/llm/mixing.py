@@ -4,8 +4,10 @@ Every row gets the exponential key -ln(u) / w, with u a hash of its seed, id and
 whose target is e whole epochs and a rest takes every row e times, then the rows of smallest keys whose sizes sum to
 the rest. The row at which the sum passes the rest is taken if that brings the sum nearer to the target.
 
-No source is ever sorted as a whole. Sizes are summed into `buckets` ranges of keys for each source before any shuffle;
-the prefix sums over these rows tell in which range a source's rest ends, and only that range's rows are sorted.
+No source is ever sorted as a whole. Sizes are summed into ranges of keys for each source before any shuffle, `buckets` of
+them to each doubling of the key, so that a weight only shifts its rows by some ranges and none holds more than a small share of
+a source. The prefix sums over these rows tell in which range a source's rest ends, and only that range's rows are sorted, equal rows
+as one with their number.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ def label_weight(measured: DataFrame, labels: DataFrame, id: str = "doc_id") ->
     """measured with its __weight times 2 for labelled quality 1, 0.5 for 0, between them for differing labels."""
     rated = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("__rated"))
     rated = rated.agg((0.5 + 1.5 * F.avg(F.col("quality").cast("double"))).alias("__quality"))
-    joined = measured.join(rated, measured[id] == F.col("__rated"), "left")
+    joined = measured.filter(F.col(id).isNotNull()).join(rated, measured[id] == F.col("__rated"), "left")
+    bare = measured.filter(F.col(id).isNull())  # rows without an id have no label, and would all meet in one task
+    joined = joined.unionByName(bare.withColumns({"__rated": F.lit(None).cast(rated.schema["__rated"].dataType), "__quality": F.lit(None).cast("double")}))
     return joined.withColumn("__weight", F.col("__weight") * F.coalesce("__quality", F.lit(1.0))).drop("__rated", "__quality")
 
 
@@ -62,7 +66,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 17,
-    buckets: int = 4096,
+    buckets: int = 256,
     small: int = 100_000,
     id: str = "doc_id",
     text: str = "text",
@@ -73,14 +77,14 @@ def mix(
     Sources by code point, null last, have the weights in turn and share `share` times all words; none gets more than
     `most` times its own, the excess goes to the others by weight. docs may come from measure(), without their text
     and with any positive __weight. Null or empty texts have size 0 and nothing is taken of them; a null source is a
-    source of its own; a null id is like any other; equal rows at the edge are taken or left together; no rows give no
-    rows. Columns of docs named like a result column are replaced. The table of targets has a row for each source; it
+    source of its own; a null id is like any other; of equal rows at the edge as many are taken as come nearest to the target; no
+    rows give no rows. Columns of docs named like a result column are replaced. The table of targets has a row for each source; it
     is broadcast if these are `small` at most, else it is joined by a shuffle.
     """
     base = docs if "__size" in docs.columns else measure(docs, id, text, seed)
     u = (F.pmod("__hash", F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    base = base.withColumn("__key", -F.log(u) / F.greatest(F.coalesce("__weight", F.lit(1.0)), F.lit(1e-6)))
-    base = base.withColumn("__bucket", F.floor(buckets * (1 - F.exp(-F.col("__key")))).cast("int"))
+    base = base.withColumn("__key", F.greatest(-F.log(u), F.lit(2.0**-54)) / F.greatest(F.coalesce("__weight", F.lit(1.0)), F.lit(1e-6)))
+    base = base.withColumn("__bucket", F.floor(buckets * F.log2("__key")).cast("int"))
     rank = F.struct(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("__size").alias("s"))
     of_source = F.col(source).eqNullSafe(F.col("__source"))
 
@@ -99,14 +103,26 @@ def mix(
 
     edge = sent(goal.select("__source", "__edge", "__before", "__rest"))
     last = base.select(source, "__bucket", "__size", rank.alias("__rank")).join(edge, of_source & (F.col("__bucket") == F.col("__edge")))
-    sums = F.sum("__size").over(W.partitionBy("__source").orderBy("__rank"))  # equal rows have one sum
-    last = last.withColumn("__upto", F.col("__before") + sums).filter(F.col("__upto") - F.col("__size") / 2 <= F.col("__rest"))
-    last = last.groupBy("__source").agg(F.max("__rank").alias("__last")).withColumnRenamed("__source", "__s")
-    goal = goal.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__rest", "__before")
+    last = last.groupBy("__source", "__before", "__rest", "__rank").agg(F.count("*").alias("__n"))
+    own = F.col("__rank.s") * F.col("__n")
+    last = last.withColumn("__upto", F.col("__before") + F.sum(own).over(W.partitionBy("__source").orderBy("__rank")))
+    # the last rank of which anything is taken: so many of its equal rows as come nearest to what is left for them
+    fits = F.least(F.col("__n"), F.round((F.col("__rest") - F.col("__upto") + own) / F.nullif(F.col("__rank.s"), F.lit(0))).cast("long"))
+    last = last.withColumn("__fits", F.coalesce(fits, F.col("__n"))).filter("__fits > 0")
+    last = last.groupBy("__source").agg(F.max(F.struct("__rank", "__fits", "__n")).alias("__l")).withColumnRenamed("__source", "__s")
+    goal = goal.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").withColumns({"__last": F.col("__l.__rank"), "__fits": F.col("__l.__fits"), "__n": F.col("__l.__n")})
+    goal = scratch.table(goal.drop("__s", "__rest", "__before", "__l"), "goal")
     out = base.join(sent(goal), of_source, "left")
-    extra = (F.col("__bucket") < F.col("__edge")) | ((F.col("__bucket") == F.col("__edge")) & F.coalesce(rank <= F.col("__last"), F.lit(False)))
-    copies = F.col("__epochs") + F.coalesce(extra, F.lit(False)).cast("long")
-    out = out.withColumn("__taken", F.col("__size") * copies).withColumn("__copies", copies)
+    in_edge = F.col("__bucket") == F.col("__edge")
+    at_end = F.coalesce(in_edge & (rank == F.col("__last")) & (F.col("__fits") < F.col("__n")), F.lit(False))
+    extra = (F.col("__bucket") < F.col("__edge")) | (in_edge & F.coalesce(rank <= F.col("__last"), F.lit(False)))
+    if goal.filter("__fits < __n").isEmpty():
+        out = out.withColumn("__copies", F.col("__epochs") + F.coalesce(extra, F.lit(False)).cast("long"))
+    else:  # equal rows are told apart by their place
+        place = F.row_number().over(W.partitionBy("__source").orderBy("__hash"))
+        some = out.filter(at_end).withColumn("__copies", F.col("__epochs") + (place <= F.col("__fits")).cast("long"))
+        out = out.filter(~at_end).withColumn("__copies", F.col("__epochs") + F.coalesce(extra, F.lit(False)).cast("long")).unionByName(some)
+    out = out.withColumn("__taken", F.col("__size") * F.col("__copies"))
     kept = [c for c in docs.columns if c not in OUT and c not in ("__size", "__hash", "__weight")]
     return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"__{c}").alias(c) for c in OUT], "__copies")
 
