@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -301,6 +300,5 @@ def fingerprint(t):
 def stored(t):
     from tidemark.sources import writers
 
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
     df = t.customer
-    return writers.staged(df, f"{base.rstrip('/')}/customer-copy", lambda again: C.require(again, {"no_key": F.col("c_custkey").isNull()}))
+    return writers.staged(df, f"{writers.shared_folder(t.spark)}/customer-copy", lambda again: C.require(again, {"no_key": F.col("c_custkey").isNull()}))

@@ -47,7 +47,7 @@ def store_ids(df: DataFrame, kind: str, number: str, prefixes: dict[str, str]) -
 
 def snapshots(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], key: str, pattern: str = r"_(\d{6})\.csv", encoding: str = "UTF-8") -> DataFrame:
     """All files of a directory that is published again and again, with the month in each file's name; keys are unique in each."""
-    df = csv_text(spark, paths, columns, encoding).withColumn("snapshot", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    df = csv_text(spark, paths, columns, encoding).withColumn("snapshot", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
     return require_unique(df, ["snapshot", key], "snapshots")
 
 
@@ -64,9 +64,10 @@ def file_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, lines that can't be read)"""
     full = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    read = spark.read.schema(T.StructType([*full.fields, T.StructField("_bad", T.StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    read = read.cache()
-    return read.filter("_bad IS NULL").drop("_bad"), read.filter("_bad IS NOT NULL").select("_bad")
+    whole = T.StructType([*full.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return read.filter("r._bad IS NULL").select(*[F.col(f"r.{f.name}") for f in full.fields]), read.filter("r._bad IS NOT NULL").select("r._bad")
 
 
 def json_array(spark: SparkSession, path: str, schema: str, wrapper: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.contracts import ContractError
@@ -17,6 +19,25 @@ def _fs(df: DataFrame, path: str):
     return target.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where that may be unset, a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ContractError("spark.checkpoint.dir is unset; a folder of one machine can't be shared")
+    own = tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def stored(df: DataFrame, name: str, form: str = "parquet", **options) -> str:
+    """Write a table to the shared folder under a new name that ends in `name`; its path."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+    df.write.options(**options).format(form).save(path)
+    return path
+
+
 def staged(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, form: str = "parquet", **options) -> DataFrame:
     """Write beside the target, read it again, check it, then swap it in; what was there stays until then."""
     fs, make = _fs(df, path)
