@@ -137,3 +137,83 @@ def box_overlaps(areas: DataFrame, size: float, least: float = 1.0) -> DataFrame
     pairs = a.join(b, (F.col("a._c") == F.col("b._c")) & (F.col("a.code") < F.col("b.code")))
     area = F.greatest(F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0"), F.lit(0.0)) * F.greatest(F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0"), F.lit(0.0))
     return pairs.select(F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"), area.alias("overlap")).filter(F.col("overlap") > least).distinct()
+
+
+def assembled(stores: DataFrame, within: DataFrame, ambiguous: DataFrame, key: str) -> DataFrame:
+    """Stores with their area and why they have none: missing before suspect before ambiguous before within; only within has an area."""
+    out = stores.join(within, key, "left").join(ambiguous, key, "left")
+    reason = F.when(F.col("coord_missing"), "missing").when(F.col("coord_suspect"), "suspect").when(F.coalesce("ambiguous", F.lit(False)), "ambiguous").when(F.col("area").isNotNull(), "within").otherwise("outside")
+    return out.withColumn("reason", reason).select(key, "reason", F.when(F.col("reason") == "within", F.col("area")).alias("area"))
+
+
+def nearest_agreeing(pairs: DataFrame, agrees: Column, margin: float) -> DataFrame:
+    """Of the pairs (id_l, id_r, distance) that agree, each left id's nearest; ambiguous if the next is not `margin` farther."""
+    top = pairs.filter(agrees).groupBy("id_l").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id_r"))), 1, 2).alias("_t"))
+    first, second = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
+    return top.select("id_l", first["id_r"].alias("id_r"), first["distance"].alias("distance"), F.coalesce(second["distance"] - first["distance"] < margin, F.lit(False)).alias("ambiguous"))
+
+
+def nearest_with_ties(points: DataFrame, places: DataFrame, radii: tuple[float, ...]) -> DataFrame:
+    """For each point (id, x, y) its nearest place, of equally near ones that of the smallest id, and how many these are.
+
+    Places are sought within growing radii; only points without one go on to the next. A point farther than the last has no row.
+    """
+    right = places.select(F.col("id").alias("id_r"), F.col("x").alias("x_r"), F.col("y").alias("y_r"))
+    left, out = points.select(F.col("id").alias("id_l"), F.col("x").alias("x_l"), F.col("y").alias("y_l")), None
+    for radius in radii:
+        near = radius_join(left, right, radius).groupBy("id_l", "distance").agg(F.min("id_r").alias("nearest"), F.count("*").alias("n_nearest"))
+        best = near.groupBy(F.col("id_l").alias("id")).agg(F.min(F.struct("distance", "nearest", "n_nearest")).alias("_b")).select("id", "_b.nearest", "_b.distance", "_b.n_nearest")
+        out = best if out is None else out.unionByName(best)
+        left = left.join(best.select(F.col("id").alias("id_l")), "id_l", "left_anti")
+    return out
+
+
+#: The Bessel ellipsoid, the central national grid on it (origin 38 N 127.0028902777778 E, scale 1, false easting 200000 and
+#: northing 500000), and the published shift of its datum to the world's (metres, arc seconds, parts per million).
+BESSEL_A, BESSEL_INVERSE_F, BESSEL_LON0, BESSEL_FALSE = 6377397.155, 299.1528128, 127.0 + 10.405 / 3600, (200_000.0, 500_000.0)
+SHIFT, ROTATION, SCALE_PPM = (-115.80, 474.99, 674.11), (1.16, -2.31, -1.63), 6.43
+
+
+def geographic(df: DataFrame, x: str, y: str, a: float = BESSEL_A, inverse_f: float = BESSEL_INVERSE_F, lat0: float = LAT0, lon0: float = BESSEL_LON0, k0: float = 1.0, false: tuple[float, float] = BESSEL_FALSE) -> DataFrame:
+    """df with _lon and _lat in degrees of grid coordinates, by the usual series. Each step is a column, so that none is written out twice."""
+    f = 1 / inverse_f
+    e2 = f * (2 - f)
+    ep2, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    per = a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
+    p0 = math.radians(lat0)
+    m0 = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p0 - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p0) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p0) - 35 * e2**3 / 3072 * math.sin(6 * p0))
+    mu, phi, n, r, t, c, d = (F.col(k) for k in ("_mu", "_phi", "_n", "_r", "_t", "_c", "_d"))
+    df = df.withColumn("_mu", (m0 + (F.col(y) - false[1]) / k0) / per)
+    df = df.withColumn("_phi", mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu))
+    df = df.withColumns({"_n": a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2)), "_r": a * (1 - e2) / F.pow(1 - e2 * F.pow(F.sin(phi), 2), 1.5), "_t": F.pow(F.tan(phi), 2), "_c": ep2 * F.pow(F.cos(phi), 2)})
+    df = df.withColumn("_d", (F.col(x) - false[0]) / (n * k0))
+    lat = phi - n * F.tan(phi) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
+    lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(phi)
+    return df.withColumns({"_lon": lon0 + F.degrees(lon), "_lat": F.degrees(lat)}).drop("_mu", "_phi", "_n", "_r", "_t", "_c", "_d")
+
+
+def shifted_datum(df: DataFrame) -> DataFrame:
+    """df whose _lon and _lat on the Bessel ellipsoid, at height 0, become those of the world's, by a shift, small rotations and a scale of the axes."""
+    f, g = 1 / BESSEL_INVERSE_F, 1 / INVERSE_F
+    e2, g2 = f * (2 - f), g * (2 - g)
+    b = A * math.sqrt(1 - g2)
+    rx, ry, rz = (math.radians(v / 3600) for v in ROTATION)
+    m = 1 + SCALE_PPM * 1e-6
+    phi, lam, n, x, y, z, u, v, w, p, q = (F.col(k) for k in ("_phi", "_lam", "_n", "_x", "_y", "_z", "_u", "_v", "_w", "_p", "_q"))
+    df = df.withColumns({"_phi": F.radians("_lat"), "_lam": F.radians("_lon")}).withColumn("_n", BESSEL_A / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2)))
+    df = df.withColumns({"_x": n * F.cos(phi) * F.cos(lam), "_y": n * F.cos(phi) * F.sin(lam), "_z": n * (1 - e2) * F.sin(phi)})
+    df = df.withColumns({"_u": SHIFT[0] + m * (x - rz * y + ry * z), "_v": SHIFT[1] + m * (rz * x + y - rx * z), "_w": SHIFT[2] + m * (-ry * x + rx * y + z)})
+    df = df.withColumn("_p", F.sqrt(u * u + v * v)).withColumn("_q", F.atan2(w * A, p * b))
+    lat = F.atan2(w + g2 / (1 - g2) * b * F.pow(F.sin(q), 3), p - g2 * A * F.pow(F.cos(q), 3))
+    return df.withColumns({"_lon": F.degrees(F.atan2(v, u)), "_lat": F.degrees(lat)}).drop("_phi", "_lam", "_n", "_x", "_y", "_z", "_u", "_v", "_w", "_p", "_q")
+
+
+def standard_coordinates(df: DataFrame, x: str, y: str, lon: tuple[float, float] = (126.7, 127.3), lat: tuple[float, float] = (37.4, 37.75)) -> DataFrame:
+    """df with x_std and y_std on the unified grid, and whether the coordinate is missing (null, not a number, or not above zero) or suspect
+    (outside a box of degrees)."""
+    out = df.withColumns({"_px": F.col(x).try_cast("double"), "_py": F.col(y).try_cast("double")})
+    out = shifted_datum(geographic(out, "_px", "_py")).withColumn("coord_missing", F.coalesce((F.col("_px") <= 0) | (F.col("_py") <= 0), F.lit(True)))
+    tx, ty = transverse_mercator(F.col("_lon"), F.col("_lat"))
+    inside_box = F.coalesce(F.col("_lon").between(*lon) & F.col("_lat").between(*lat), F.lit(False))
+    out = out.withColumns({"x_std": F.when(~F.col("coord_missing"), tx), "y_std": F.when(~F.col("coord_missing"), ty), "coord_suspect": ~F.col("coord_missing") & ~inside_box})
+    return out.drop("_px", "_py", "_lon", "_lat")

@@ -138,3 +138,43 @@ def first_reason(rules: Sequence[tuple[str, Column]], default: str) -> Column:
     for name, rule in rules:
         out = F.when(rule, name) if out is None else out.when(rule, name)
     return out.otherwise(default)
+
+
+def candidate_keys(variants: DataFrame, entities: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
+    """Every different key of an entity's name variants, with what is known of the entity."""
+    return variants.select(*keys).distinct().join(entities, entity, "left")
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables row by row on unique keys; a key that only one of them has stops the run."""
+    require_unique(a, keys, "first")
+    require_unique(b, keys, "second")
+    both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), list(keys), "full_outer")
+    if not both.filter("_a IS NULL OR _b IS NULL").isEmpty():
+        raise ContractError("keys of only one side")
+    return both.drop("_a", "_b")
+
+
+def flagged(df: DataFrame, lookup: DataFrame, column: str, choices: Sequence[Sequence[str]]) -> DataFrame:
+    """df with a flag from a look-up, by the first choice of keys that the look-up has; a row without a partner stops the run."""
+    keys = next((list(k) for k in choices if all(c in lookup.columns for c in k)), None)
+    if keys is None:
+        raise ContractError(f"none of {list(choices)} is in the look-up")
+    out = attach(df, lookup.select(*keys, column), keys)
+    if not out.filter(F.col(column).isNull()).isEmpty():
+        raise ContractError(f"rows without {column}")
+    return out
+
+
+def membership_rate(rows: DataFrame, reference: DataFrame, key: str, by: str) -> DataFrame:
+    """Share of each group's keys that a reference has."""
+    known = reference.select(key).distinct().withColumn("_known", F.lit(1))
+    return rows.join(known, key, "left").groupBy(by).agg(F.count("*").alias("n"), F.avg(F.coalesce("_known", F.lit(0))).alias("rate"))
+
+
+def best_two(scored: DataFrame, id: str, entity: str, score: str, margin: float) -> DataFrame:
+    """For each id its best entity and the score of the next one; ambiguous if that is nearer than the margin."""
+    per = scored.groupBy(id, entity).agg(F.max(score).alias(score))
+    top = per.groupBy(id).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(entity).alias("e")))), 1, 2).alias("_t"))
+    best, following = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
+    return top.select(id, best["e"].alias("best"), F.bround(-best["o"], 4).alias("score"), F.bround(-following["o"], 4).alias("runner_up"), F.coalesce(F.bround(following["o"] - best["o"], 4) < margin, F.lit(False)).alias("ambiguous"))

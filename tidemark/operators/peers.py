@@ -67,3 +67,8 @@ def compare_explanations(a: DataFrame, b: DataFrame, key: str, dead: float = 0.0
     x = a.select(key, "factor", direction("contribution", dead).alias("direction_a"), F.col("contribution").alias("contribution_a"))
     y = b.select(key, "factor", direction("contribution", dead).alias("direction_b"), F.col("contribution").alias("contribution_b"))
     return x.join(y, [key, "factor"]).withColumn("sensitive", F.col("direction_a") != F.col("direction_b"))
+
+
+def ranked(long: DataFrame, keys: Sequence[str], contribution: str, tie: str) -> DataFrame:
+    """rank: the place of each row of a key by contribution, largest first, ties by a given order."""
+    return long.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(contribution), tie)))

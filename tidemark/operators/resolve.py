@@ -77,3 +77,9 @@ def entities(panel: DataFrame, roots: DataFrame, id: str, snapshot: str, attribu
     per = per.join(roots, "id", "left").withColumn("entity_id", F.coalesce("root", "id")).drop("root")
     w = W.partitionBy("entity_id")
     return per.withColumn("entity_size", F.count("*").over(w)).withColumn("entity_first", F.min("first_seen").over(w)).withColumn("entity_last", F.max("last_seen").over(w))
+
+
+def seen_before(panel: DataFrame, id: str, snapshot: str) -> DataFrame:
+    """Rows with whether the id stood in any earlier snapshot, and in which it did last."""
+    w = W.partitionBy(id).orderBy(snapshot)
+    return panel.dropDuplicates([id, snapshot]).withColumn("last_seen", F.lag(snapshot).over(w)).withColumn("seen_before", F.col("last_seen").isNotNull())
