@@ -130,3 +130,22 @@ def price_year(raw: DataFrame, key: str, year: str, value: str, digits: int = 19
     ok = raw.filter(F.col(key).rlike(f"^[0-9]{{{digits}}}$"))
     per = ok.groupBy(key, year).agg(F.count_distinct(value).alias("_n"), F.max(value).alias(value), F.count("*").alias("n_rows"))
     return per.filter("_n <= 1").drop("_n")
+
+
+def provenance(table: DataFrame, snapshot: str, end: str = "origin_end") -> DataFrame:
+    """A table with what it was made from and as of when."""
+    return table.withColumn("source_snapshot", F.lit(snapshot)).withColumn("feature_asof", F.col(end))
+
+
+def mention_spans(mentions: DataFrame, key: str, day: str, months: int) -> DataFrame:
+    """For each key how many mentions there are and from when to when; from_day lies `months` before the first of all."""
+    first = mentions.agg(F.add_months(F.min(day), -months).alias("from_day"))
+    return mentions.groupBy(key).agg(F.count("*").alias("total"), F.min(day).alias("first"), F.max(day).alias("last")).crossJoin(F.broadcast(first))
+
+
+def recomputed(monthly: DataFrame, key: str, month: str, value: str, window: int) -> DataFrame:
+    """Trailing sums in two ways, by a window over months and by a join with each of the months: how many cells there are and differ."""
+    w = W.partitionBy(key).orderBy(month).rangeBetween(-(window - 1), 0)
+    first = monthly.withColumn("_a", F.sum(value).over(w))
+    spread = monthly.withColumn("_to", F.explode(F.sequence(F.col(month), F.col(month) + window - 1))).groupBy(key, F.col("_to").alias(month)).agg(F.sum(value).alias("_b"))
+    return first.join(spread, [key, month], "left").agg(F.count("*").alias("n"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_differ"))

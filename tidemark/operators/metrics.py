@@ -161,3 +161,13 @@ def winsorised(rows: DataFrame, c: str, low: float = 0.01, high: float = 0.99) -
     limits = rows.agg(F.percentile(c, F.lit(low)).alias("_lo"), F.percentile(c, F.lit(high)).alias("_hi"))
     out = rows.crossJoin(F.broadcast(limits))
     return out.withColumn(f"{c}_w", F.greatest(F.least(F.col(c), F.col("_hi")), F.col("_lo"))).withColumn(f"{c}_outlier", (F.col(c) < F.col("_lo")) | (F.col(c) > F.col("_hi"))).drop("_lo", "_hi")
+
+
+def summary_row(by: DataFrame, metric: str) -> DataFrame:
+    """One row for a model: its metric's mean and range over origins (n, rate and the metric of each), the rate of all rows."""
+    return by.agg(F.avg(metric).alias(f"{metric}_mean"), (F.max(metric) - F.min(metric)).alias(f"{metric}_range"), F.count("*").alias("n_origins"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("rate")) / F.sum("n")).alias("rate"))
+
+
+def weighted_series(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """Weighted and plain means by group, as figures show them."""
+    return rows.groupBy(by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted"), F.avg(value).alias("plain"))

@@ -72,3 +72,8 @@ def compare_explanations(a: DataFrame, b: DataFrame, key: str, dead: float = 0.0
 def ranked(long: DataFrame, keys: Sequence[str], contribution: str, tie: str) -> DataFrame:
     """rank: the place of each row of a key by contribution, largest first, ties by a given order."""
     return long.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(contribution), tie)))
+
+
+def category_totals(long: DataFrame, keys: Sequence[str], category: str, categories: Sequence[str], value: str, needed: str) -> DataFrame:
+    """Sums of a value by category, a column each with 0 for none, and whether a category is there at all."""
+    return long.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col(category) == c, F.col(value))), F.lit(0.0)).alias(c) for c in categories], (F.count_if(F.col(category) == needed) > 0).alias("available"))

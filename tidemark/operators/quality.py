@@ -44,7 +44,10 @@ def maturity_table(monthly: DataFrame, last_day: Column, share: float, recent: i
     """
     w = W.orderBy("month_no").rowsBetween(-window, -1)
     last = F.year(last_day) * 12 + F.month(last_day) - 1
-    t = monthly.withColumn("baseline", F.median("n").over(w)).withColumn("months_ago", last - F.col("month_no")).filter(F.col("months_ago").between(0, recent - 1))
+    before = F.array_sort(F.collect_list("n").over(w))
+    size = F.size(before)
+    median = F.when(size > 0, (F.get(before, F.floor((size - 1) / 2).cast("int")) + F.get(before, F.floor(size / 2).cast("int"))) / 2)
+    t = monthly.withColumn("baseline", median).withColumn("months_ago", last - F.col("month_no")).filter(F.col("months_ago").between(0, recent - 1))
     return t.select("month_no", "months_ago", "n", F.bround("baseline", 1).alias("baseline"), F.when(F.col("baseline") > 0, F.bround(F.col("n") / F.col("baseline"), 2)).alias("share"), S.flag(F.col("n") < share * F.col("baseline")).alias("flagged"), (F.col("months_ago") == 0).alias("partial"))
 
 

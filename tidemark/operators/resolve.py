@@ -83,3 +83,8 @@ def seen_before(panel: DataFrame, id: str, snapshot: str) -> DataFrame:
     """Rows with whether the id stood in any earlier snapshot, and in which it did last."""
     w = W.partitionBy(id).orderBy(snapshot)
     return panel.dropDuplicates([id, snapshot]).withColumn("last_seen", F.lag(snapshot).over(w)).withColumn("seen_before", F.col("last_seen").isNotNull())
+
+
+def provenance(panel: DataFrame, entity: str, id: str, snapshot: str) -> DataFrame:
+    """For each entity how many ids it has, its first and last snapshot, and its latest id (of equal snapshots the largest)."""
+    return panel.groupBy(entity).agg(F.count_distinct(id).alias("n_ids"), F.min(snapshot).alias("first"), F.max(snapshot).alias("last"), F.max_by(id, F.struct(snapshot, id)).alias("latest"))

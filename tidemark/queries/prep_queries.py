@@ -155,9 +155,9 @@ def industries(t):
     return P.coded(t.part, "p_type", ["PROMO", "SMALL"]).select("p_partkey")
 
 
-@query("f08_short_names", "SELECT n_nationkey, length(n_name) <= 5 AS short_name, CASE WHEN length(n_name) > 5 THEN n_regionkey END AS posts FROM nation")
+@query("f08_short_names", "SELECT n_nationkey, length(n_name) <= 8 AS short_name, CASE WHEN length(n_name) > 8 THEN n_regionkey END AS posts FROM nation")
 def short(t):
-    return P.without_short_names(t.nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("posts")), "n_name", ["posts"], 5).drop("n_name")
+    return P.without_short_names(t.nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("posts")), "n_name", ["posts"], 8).drop("n_name")
 
 
 @query("f09_date_bounds", """WITH r AS (SELECT o_custkey AS k, o_orderstatus AS g, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS lo, CASE WHEN o_orderstatus <> 'O' THEN (o_orderdate::DATE + INTERVAL 90 DAY)::DATE END AS hi FROM orders),
