@@ -171,3 +171,9 @@ def summary_row(by: DataFrame, metric: str) -> DataFrame:
 def weighted_series(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     """Weighted and plain means by group, as figures show them."""
     return rows.groupBy(by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted"), F.avg(value).alias("plain"))
+
+
+def band_rule_values(scored: DataFrame, origin: str, y: str = "y", p: str = "p", lift: float = 1.2, share: float = 0.95) -> DataFrame:
+    """For each origin what the band rules would give: its base rate, the cut-off of a lift over it, and that of a share of the scores."""
+    per = scored.groupBy(origin, F.col(p).alias("_p")).agg(F.count("*").alias("_n"), F.sum(y).alias("_e"))
+    return per.groupBy(origin).agg((F.sum("_e") / F.sum("_n")).alias("base_rate"), (lift * F.sum("_e") / F.sum("_n")).alias("mid"), F.percentile("_p", F.lit(share), F.col("_n")).alias("high"))

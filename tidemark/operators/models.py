@@ -73,13 +73,37 @@ def isotonic(train: DataFrame, y: str = "y", p: str = "p") -> Callable[[DataFram
     return lambda rows: model.transform(rows.withColumn("_p", F.col(p).cast("double"))).drop("_p")
 
 
-def platt(train: DataFrame, y: str = "y", p: str = "p") -> tuple[float, float]:
-    """(intercept, slope) of a logistic recalibration of the score's logit."""
-    rows = train.select(F.col(y).cast("double").alias("_y"), F.ln(F.col(p) / (1 - F.col(p))).alias("_l"))
-    model = LogisticRegression(labelCol="_y", featuresCol="_v", regParam=0.0, maxIter=100).fit(VectorAssembler(inputCols=["_l"], outputCol="_v").transform(rows))
+def platt(train: DataFrame, y: str = "y", p: str = "p", eps: float = 1e-6) -> tuple[float, float]:
+    """(intercept, slope) of a logistic recalibration of the score's logit; scores of 0 and 1 count as eps beside them."""
+    q = F.greatest(F.least(F.col(p), F.lit(1 - eps)), F.lit(eps))
+    return weighted_platt(train.select(F.col(y).cast("double").alias("_y"), F.ln(q / (1 - q)).alias("_l"), F.lit(1.0).alias("_w")), "_l", "_y", "_w")
+
+
+def weighted_platt(rows: DataFrame, logit: str, y: str, weight: str) -> tuple[float, float]:
+    data = VectorAssembler(inputCols=[logit], outputCol="_v").transform(rows)
+    model = LogisticRegression(labelCol=y, featuresCol="_v", weightCol=weight, regParam=0.0, maxIter=100).fit(data)
     return float(model.intercept), float(model.coefficients[0])
 
 
+def logistic_baseline(train: DataFrame, y: str, spline: str, logged: Sequence[str], categories: Sequence[str], ridge: float = 0.01) -> Callable[[DataFrame], DataFrame]:
+    """The published baseline: a spline of one column, logarithms of others (medians for missing values), a column for each level of
+    categories (the most frequent one for missing values), all standardised inside the fit."""
+    from tidemark.operators.prep import spline_basis, spline_knots
+
+    medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in [spline, *logged]]).first().asDict()
+    knots = spline_knots(train, spline)
+    levels = {c: [r[0] for r in train.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(100).collect()] for c in categories}
+
+    def made(df: DataFrame) -> DataFrame:
+        cols = {f"_s{i}": b for i, b in enumerate(spline_basis(F.coalesce(F.col(spline).cast("double"), F.lit(float(medians[spline]))), knots))}
+        cols |= {f"_l_{c}": F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))), F.lit(0.0))) for c in logged}
+        cols |= {f"_c_{c}_{i}": (F.coalesce(F.col(c), F.lit(v[0])) == x).cast("double") for c, v in levels.items() for i, x in enumerate(v[1:])}
+        return VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df.withColumns(cols)).drop(*cols)
+
+    model = LogisticRegression(labelCol="_y", featuresCol="_v", regParam=ridge, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", maxIter=50).fit(made(train.withColumn("_y", F.col(y).cast("double"))))
+    return lambda rows: model.transform(made(rows)).withColumn("p", vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c")
+
+
 def rolling_folds(origins: Sequence[int], embargo: int = EMBARGO, least: int = LEAST_ORIGINS) -> list[tuple[list[int], int]]:
     """(training origins, tested origin): training ends more than the embargo before the test, so that its labels are complete."""
     out = []

@@ -77,3 +77,9 @@ def ranked(long: DataFrame, keys: Sequence[str], contribution: str, tie: str) ->
 def category_totals(long: DataFrame, keys: Sequence[str], category: str, categories: Sequence[str], value: str, needed: str) -> DataFrame:
     """Sums of a value by category, a column each with 0 for none, and whether a category is there at all."""
     return long.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col(category) == c, F.col(value))), F.lit(0.0)).alias(c) for c in categories], (F.count_if(F.col(category) == needed) > 0).alias("available"))
+
+
+def inner_driver(rows: DataFrame, background: DataFrame, others: Sequence[str], inner: Sequence[str], score: Callable[[dict[str, Column]], Column], key: str, sign: Column) -> DataFrame:
+    """For each row the column of one factor that acts most in the factor's direction (sign: 1 or -1), all other columns together being one player."""
+    long = shapley(rows, background, {"_others": list(others), **{c: [c] for c in inner}}, score, key).filter("factor <> '_others'")
+    return long.groupBy(key).agg(F.max_by("factor", F.struct(F.col("contribution") * sign, "factor")).alias("driver"), F.max(F.col("contribution") * sign).alias("driver_value"))

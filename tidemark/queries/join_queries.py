@@ -134,7 +134,7 @@ def competition(t):
 @query(
     "w03_mentions",
     """WITH qa AS (SELECT p_partkey AS store_id, p_partkey % 10 <> 0 AS ok, p_partkey % 7 = 0 AS truncated, CASE WHEN p_partkey % 7 = 0 THEN 1997 * 12 + 5 END AS tm FROM part WHERE p_partkey % 13 <> 0),
-    pn AS (SELECT p_partkey AS store_id, origin, year(origin_end) * 12 + month(origin_end) - 1 AS e FROM part CROSS JOIN cal WHERE origin_no % 4 = 1),
+    pn AS (SELECT p_partkey AS store_id, origin, year(origin_end) * 12 + month(origin_end) - 1 AS e FROM part CROSS JOIN cal),
     j AS (SELECT pn.store_id, origin, e, coalesce(sum(mention_count) FILTER (e - month_no < 3), 0) AS c3, coalesce(sum(mention_count) FILTER (e - month_no < 6), 0) AS c6, coalesce(sum(mention_count) FILTER (e - month_no < 12), 0) AS c12, max(month_no) AS last
       FROM pn LEFT JOIN mentions m ON m.store_id = pn.store_id AND month_no <= e GROUP BY 1, 2, 3),
     f AS (SELECT j.*, coalesce(ok, false) AS seen, coalesce(truncated, false) AND tm IS NOT NULL AS cut, coalesce(truncated, false) AND NOT coalesce(last >= coalesce(tm, 0), false) AS blind, tm FROM j LEFT JOIN qa USING (store_id))
@@ -144,7 +144,7 @@ def competition(t):
 def mentions(t):
     k = F.col("p_partkey")
     qa = t.part.filter("p_partkey % 13 <> 0").select(k.alias("store_id"), (k % 10 != 0).alias("ok"), (k % 7 == 0).alias("truncated"), F.when(k % 7 == 0, 1997 * 12 + 5).alias("trunc_month_no"))
-    panel = t.part.select(k.alias("store_id")).crossJoin(F.broadcast(t.calendar().filter("origin_no % 4 = 1")))
+    panel = t.part.select(k.alias("store_id")).crossJoin(F.broadcast(t.calendar()))
     return A.mentions(panel, t.mentions(), qa)
 
 
@@ -230,7 +230,7 @@ def nearest(t):
 
 @query("j18_overlaps", f"SELECT r.code AS code_a, b.code AS code_b, ((least(r.x1, b.x1) - greatest(r.x0, b.x0)) * (least(r.y1, b.y1) - greatest(r.y0, b.y0)))::DOUBLE AS overlap FROM {_BOXES} JOIN {_BOXES.replace(' r(', ' b(')} ON r.code < b.code AND least(r.x1, b.x1) > greatest(r.x0, b.x0) AND least(r.y1, b.y1) > greatest(r.y0, b.y0)")
 def overlaps(t):
-    return G.box_overlaps(areas(t), 25.0)
+    return G.overlaps(areas(t), 25.0).withColumn("overlap", S.rounded("overlap"))
 
 
 @query("g01_polygon_area", f"SELECT code, ((x1 - x0) * (y1 - y0))::DOUBLE AS area FROM {_BOXES}")

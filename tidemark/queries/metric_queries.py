@@ -247,7 +247,7 @@ FACTORS = {"size": ["a"], "age": ["b"], "place": ["c", "d"]}
 
 def explained(t, shift=0):
     rows = t.part.select("p_partkey", (F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_partkey") % 7 / 7).alias("c"), (F.col("p_partkey") % 3 / 3).alias("d"))
-    background = t.part.filter(f"p_partkey % 40 = {1 + shift}").select((F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_partkey") % 7 / 7).alias("c"), (F.col("p_partkey") % 3 / 3).alias("d")).limit(64)
+    background = t.part.filter(f"p_partkey % 40 = {1 + shift}").select((F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_partkey") % 7 / 7).alias("c"), (F.col("p_partkey") % 3 / 3).alias("d"), F.xxhash64("p_partkey").alias("_o")).orderBy("_o").limit(64).drop("_o")
     score = lambda v: 1 / (1 + F.exp(-(v["a"] - v["b"] + v["c"] * v["d"])))
     return E.shapley(rows, background, FACTORS, score, "p_partkey")
 
