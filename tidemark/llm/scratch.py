@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.writers import shared_folder
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset, as in local tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    """The cluster's spark.checkpoint.dir; in local mode, where that may be unset, a temporary folder. Elsewhere an unset one is an error."""
+    return shared_folder(spark)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
