@@ -59,36 +59,36 @@ def suppression_by_size(grid: DataFrame) -> DataFrame:
 def competition(panel: DataFrame, stores: DataFrame, origins: DataFrame) -> DataFrame:
     """Open stores of a place and type at an origin's end and a year before, openings and closings between, all without the store itself.
 
-    Counts come from events, not from stores times origins: +1 on the day a store opens, -1 on the day it closes, summed by place,
-    type and origin, then cumulated over the few origins. A store without a place, or with a place outside its district, has missing counts and
-    isn't counted for others.
+    Counts come from events, not from stores times origins: a store adds one on the day it opens and takes one away on the day it closes. Events
+    are summed by place, type and the first mark (an origin's end, or a year before one) on or after their day, and cumulated; each place then has one row
+    with its few steps, in which a panel row finds both its dates. A store without a place, or with a place outside its district, has missing
+    counts and isn't counted for others.
     """
     ends = origins.select("origin", "origin_end").distinct()
     marks = ends.select(F.col("origin_end").alias("at")).unionByName(ends.select(F.add_months("origin_end", -12).alias("at"))).distinct()
     edges = F.broadcast(marks.agg(F.array_sort(F.collect_set("at")).alias("edges")))
 
-    def steps(keys: Sequence[str]) -> DataFrame:
+    def steps(keys: Sequence[str], name: str) -> DataFrame:
         s = stores.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-        events = s.select(*keys, F.col("license_date").alias("day"), F.lit(1).alias("opens"), F.lit(0).alias("closes"))
-        events = events.unionByName(s.filter("close_date IS NOT NULL").select(*keys, F.col("close_date").alias("day"), F.lit(0).alias("opens"), F.lit(1).alias("closes")))
-        # an event counts from the first mark on or after its day
-        events = events.crossJoin(edges).withColumn("at", F.try_element_at(F.filter("edges", lambda e: e >= F.col("day")), F.lit(1))).filter("at IS NOT NULL")
-        per = events.groupBy(*keys, "at").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes"))
-        full = per.select(*keys).distinct().crossJoin(F.broadcast(marks)).join(per, [*keys, "at"], "left").fillna(0, ["opens", "closes"])
-        w = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-        return full.select(*keys, "at", F.sum("opens").over(w).alias("opened"), F.sum("closes").over(w).alias("closed"))
-
-    def looked_up(rows: DataFrame, keys: Sequence[str], at: Column, name: str) -> DataFrame:
-        table = steps(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("at").alias("_at"), F.col("opened").alias(f"{name}_opened"), F.col("closed").alias(f"{name}_closed"))
-        on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == at]
-        return rows.join(table, on, "left").drop("_at", *[f"_{k}" for k in keys])
+        days = F.explode(F.array(F.struct(F.col("license_date").alias("day"), F.lit(1).alias("o"), F.lit(0).alias("c")), F.struct(F.col("close_date").alias("day"), F.lit(0).alias("o"), F.lit(1).alias("c"))))
+        events = s.select(*keys, days.alias("_e")).select(*keys, "_e.*").filter("day IS NOT NULL").crossJoin(edges)
+        events = events.withColumn("at", F.get(F.col("edges"), F.size(F.filter("edges", lambda e: e < F.col("day"))))).filter("at IS NOT NULL")
+        w = W.partitionBy(*keys).orderBy("at")
+        summed = events.groupBy(*keys, "at").agg(F.sum("o").alias("o"), F.sum("c").alias("c")).select(*keys, "at", F.sum("o").over(w).alias("opened"), F.sum("c").over(w).alias("closed"))
+        return summed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("at", "opened", "closed"))).alias(name))
+
+    def looked_up(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        return rows.join(steps(keys, name), [F.col(k) == F.col(f"_{k}") for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+    def at_mark(name: str, at: Column) -> Column:
+        return F.try_element_at(F.filter(name, lambda x: x["at"] <= at), F.lit(-1))
 
     rows = panel.select("store_id", "origin", "origin_end", "license_date", "biz_type", "pnu", "dong")
     now, before = F.col("origin_end"), F.add_months("origin_end", -12)
-    rows = looked_up(rows, ["pnu"], now, "p")
-    rows = looked_up(rows, ["pnu", "biz_type"], now, "pt")
-    rows = looked_up(rows, ["dong", "biz_type"], now, "dt")
-    rows = looked_up(rows, ["dong", "biz_type"], before, "db")
+    rows = looked_up(looked_up(looked_up(rows, ["pnu"], "p"), ["pnu", "biz_type"], "pt"), ["dong", "biz_type"], "dt")
+    found = {"p": at_mark("p", now), "pt": at_mark("pt", now), "db": at_mark("dt", before), "dt": at_mark("dt", now)}
+    rows = rows.withColumns({f"{k}_at": v for k, v in found.items()})
+    rows = rows.withColumns({f"{k}_{n}": F.col(f"{k}_at")[n] for k in found for n in ("opened", "closed")})
     n_now = F.col("dt_opened") - F.col("dt_closed")
     n_before = F.coalesce("db_opened", F.lit(0)) - F.coalesce("db_closed", F.lit(0))
     opened_self = ((F.col("license_date") > before) & (F.col("license_date") <= now)).cast("int")

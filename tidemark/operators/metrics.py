@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import mean_ranks, quantiles
 from tidemark.semantics import col
 
 
@@ -47,7 +48,7 @@ def recalibrated(p: str | Column, intercept: float, slope: float) -> Column:
 
 def reliability(scored: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """Rows by bins of equal counts: different quantiles are the edges, a bin is open on its right."""
-    edges = scored.agg(F.array_sort(F.array_distinct(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).alias("edges"))
+    edges = quantiles(scored, p, [i / bins for i in range(bins + 1)]).select(F.array_sort(F.array_distinct("q")).alias("edges"))
     rows = scored.crossJoin(F.broadcast(edges))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     rows = rows.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(p))) + 1)
@@ -70,7 +71,8 @@ def cutoffs(scored: DataFrame, high_lift: float = 2.0, mid_lift: float = 1.2, le
     Candidates are quantiles, a fixed number; the rows above each come from one pass that sums rows by the last candidate they pass.
     """
     grid = [low + (top - low) * i / (points - 1) for i in range(points)]
-    base = scored.agg(F.avg(y).alias("base_rate"), F.array_sort(F.array_distinct(F.percentile(p, F.array(*[F.lit(g) for g in grid])))).alias("grid"), F.percentile(p, F.lit(fallback)).alias("fallback"))
+    found = quantiles(scored, p, [*grid, fallback]).select(F.array_sort(F.array_distinct(F.slice("q", 1, points))).alias("grid"), F.element_at("q", -1).alias("fallback"))
+    base = scored.agg(F.avg(y).alias("base_rate")).crossJoin(found)
     rows = scored.crossJoin(F.broadcast(base.select("grid"))).withColumn("k", F.size(F.filter("grid", lambda g: g <= F.col(p))))
     per = rows.filter("k > 0").groupBy("k", F.try_element_at(F.col("grid"), F.col("k")).alias("cut")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
     above = W.orderBy(F.desc("k"))
@@ -142,10 +144,8 @@ def effective_size(weight: str | Column) -> Column:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(W.orderBy(c)) + (F.count("*").over(W.partitionBy(c)) - 1) / 2
-
-    ranked = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(mean_rank(a).alias("ra"), mean_rank(b).alias("rb"))
+    known = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    ranked = mean_ranks(mean_ranks(known, "_a", "ra"), "_b", "rb")
     return ranked.agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 
 
@@ -158,7 +158,7 @@ def eta_squared(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def winsorised(rows: DataFrame, c: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    limits = rows.agg(F.percentile(c, F.lit(low)).alias("_lo"), F.percentile(c, F.lit(high)).alias("_hi"))
+    limits = quantiles(rows, c, [low, high]).select(F.get("q", F.lit(0)).alias("_lo"), F.get("q", F.lit(1)).alias("_hi"))
     out = rows.crossJoin(F.broadcast(limits))
     return out.withColumn(f"{c}_w", F.greatest(F.least(F.col(c), F.col("_hi")), F.col("_lo"))).withColumn(f"{c}_outlier", (F.col(c) < F.col("_lo")) | (F.col(c) > F.col("_hi"))).drop("_lo", "_hi")
 

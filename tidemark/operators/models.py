@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.contracts import ContractError
+from tidemark.operators.order import quantiles
 
 #: How many quarters lie between the last training origin and the one tested, and the fewest origins to train on.
 EMBARGO, LEAST_ORIGINS = 4, 4
@@ -54,7 +55,7 @@ def boosted(train: DataFrame, columns: Sequence[str], y: str, trees: int = 20, d
 
 def logistic(train: DataFrame, columns: Sequence[str], y: str, ridge: float = 0.0, weight: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """Logistic baseline: medians for missing values with a flag for each, standardised inside the fit."""
-    medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first().asDict()
+    medians = {c: (r := quantiles(train, c, [0.5]).first()) and r["q"][0] for c in columns}
     known = [c for c in columns if medians[c] is not None]
 
     def filled(df: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def logistic_baseline(train: DataFrame, y: str, spline: str, logged: Sequence[st
     categories (the most frequent one for missing values), all standardised inside the fit."""
     from tidemark.operators.prep import spline_basis, spline_knots
 
-    medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in [spline, *logged]]).first().asDict()
+    medians = {c: quantiles(train, c, [0.5]).first()["q"][0] for c in [spline, *logged]}
     knots = spline_knots(train, spline)
     levels = {c: [r[0] for r in train.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(100).collect()] for c in categories}
 

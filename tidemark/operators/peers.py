@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import numbered, quantiles_of
 from tidemark.semantics import average_rank_share
 
 
 def peer_statistics(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Each row's place among its peers, their number and their median."""
-    medians = rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("peer_median"), F.count(value).alias("peer_n"))
-    return rows.withColumn("peer_pct", average_rank_share(value, by)).join(medians, list(by), "left")
+    table = numbered(rows, value, by)
+    medians = quantiles_of(table, [0.5], by).select(*by, F.get("q", F.lit(0)).alias("peer_median"), F.col("total").alias("peer_n"))
+    places = table.select(*by, F.col("value").alias("_v"), ((F.col("upto") - F.col("n") + (F.col("n") + 1) / 2) / F.col("total")).alias("peer_pct"))
+    placed = rows.join(places.withColumnRenamed("_v", value), [*by, value], "left")
+    return placed.join(medians, list(by), "left").withColumn("peer_n", F.coalesce("peer_n", F.lit(0)))
 
 
 def peer_fallback(rows: DataFrame, value: str, levels: Sequence[Sequence[str]], least: int = 30) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import semantics as S
 from tidemark.operators import contracts as C
+from tidemark.operators.order import quantiles
 
 
 def panel_features(df: DataFrame, license_date: str, end: str, area: str, x: str, y: str, snapshot: str) -> DataFrame:
@@ -115,8 +116,8 @@ def priority(close: str, since: Column) -> Column:
 
 
 def spline_knots(df: DataFrame, c: str, shares: Sequence[float] = (0.05, 0.35, 0.65, 0.95)) -> list[float]:
-    """Quantiles of a column, from a table of its values with their counts, so that equal values are one."""
-    return [float(v) for v in df.agg(F.percentile(c, F.array(*[F.lit(s) for s in shares]))).first()[0]]
+    """Quantiles of a column."""
+    return [float(v) for v in quantiles(df, c, shares).first()["q"]]
 
 
 def spline_basis(c: str | Column, knots: Sequence[float]) -> list[Column]:

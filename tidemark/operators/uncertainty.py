@@ -13,6 +13,7 @@ from tidemark import semantics as S
 from tidemark.operators import contracts as C
 from tidemark.operators import metrics as M
 from tidemark.operators import models as ML
+from tidemark.operators.order import quantiles
 
 
 def clipped_logit(p: str | Column, eps: float = 1e-6) -> Column:
@@ -159,18 +160,19 @@ def venn_abers(calibration: DataFrame, rows: DataFrame, y: str = "y", p: str = "
 def interval_diagnostics(rows: DataFrame, y: str = "y", low: str = "p_low", high: str = "p_high", bins: int = 10) -> DataFrame:
     """One row: widths of the intervals, and the share of bins of the middle whose event rate lies between the mean limits."""
     mid, width = (F.col(low) + F.col(high)) / 2, F.col(high) - F.col(low)
-    edges = sorted(set(rows.agg(F.percentile(mid, F.array(*[F.lit(k / bins) for k in range(1, bins)]))).first()[0]))
+    edges = sorted(set(quantiles(rows.select(mid.alias("_m")), "_m", [k / bins for k in range(1, bins)]).first()["q"]))
     number = F.lit(0)
     for e in edges:
         number = number + (mid >= e).cast("int")
     per = rows.withColumn("_b", number).groupBy("_b").agg(F.avg(y).alias("o"), F.avg(low).alias("l"), F.avg(high).alias("h"))
     covered = per.agg(F.avg(F.col("o").between(F.col("l"), F.col("h")).cast("int")).alias("bin_coverage"), F.count("*").alias("n_bins"))
-    return rows.agg(F.avg(width).alias("mean_width"), F.percentile(width, F.lit(0.5)).alias("median_width"), F.percentile(width, F.lit(0.9)).alias("p90_width")).crossJoin(covered)
+    widths = quantiles(rows.select(width.alias("_w")), "_w", [0.5, 0.9]).select(F.get("q", F.lit(0)).alias("median_width"), F.get("q", F.lit(1)).alias("p90_width"))
+    return rows.agg(F.avg(width).alias("mean_width")).crossJoin(widths).crossJoin(covered)
 
 
 def relative_bands(rows: DataFrame, p: str, mid: float, high: float) -> DataFrame:
     """Bands by shares of the rows themselves: high from the quantile `high` on, mid from `mid` on."""
-    cut = rows.agg(F.percentile(p, F.lit(mid)).alias("_m"), F.percentile(p, F.lit(high)).alias("_h"))
+    cut = quantiles(rows, p, [mid, high]).select(F.get("q", F.lit(0)).alias("_m"), F.get("q", F.lit(1)).alias("_h"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("band", M.band(p, F.col("_m"), F.col("_h"))).drop("_m", "_h")
 
 

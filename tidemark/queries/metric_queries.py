@@ -9,6 +9,7 @@ from tidemark import semantics as S
 from tidemark.operators import metrics as M
 from tidemark.operators import models as ML
 from tidemark.operators import peers as E
+from tidemark.operators.order import quantiles
 from tidemark.queries.registry import query
 
 
@@ -186,9 +187,10 @@ def normalised(t):
 
 
 @query("a17_distance_quantiles", "SELECT c_mktsegment, round_even(quantile_cont(c_acctbal, 0.5), 4) AS p50, round_even(quantile_cont(c_acctbal, 0.9), 4) AS p90, count(*) FILTER (c_acctbal <= 0) AS n_0, count(*) FILTER (c_acctbal <= 3000) AS n_3000, count(*) FILTER (c_acctbal <= 6000) AS n_6000 FROM customer GROUP BY 1")
-def quantiles(t):
+def distances(t):
     b = F.col("c_acctbal")
-    return t.customer.groupBy("c_mktsegment").agg(*[S.rounded(F.percentile(b, F.lit(q)), 4).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9))], *[F.count_if(b <= v).alias(f"n_{v}") for v in (0, 3000, 6000)])
+    q = quantiles(t.customer, "c_acctbal", [0.5, 0.9], ["c_mktsegment"]).select("c_mktsegment", *[S.rounded(F.get("q", F.lit(k)), 4).alias(n) for k, n in enumerate(("p50", "p90"))])
+    return t.customer.groupBy("c_mktsegment").agg(*[F.count_if(b <= v).alias(f"n_{v}") for v in (0, 3000, 6000)]).join(q, "c_mktsegment")
 
 
 @query("a26_subgroups", "WITH r AS (SELECT y, p, unnest([{'dim': 'status', 'grp': l_linestatus}, {'dim': 'origin', 'grp': origin_no::VARCHAR}, {'dim': 'all', 'grp': 'all'}]) AS g FROM scored) SELECT g.dim AS dim, g.grp AS grp, count(*) AS n, sum(y)::BIGINT AS events, round_even(avg(y), 6) AS rate, round_even(avg(p) - avg(y), 6) AS gap, round_even(avg((p >= 0.4)::INT), 6) AS high_share FROM r GROUP BY 1, 2")
