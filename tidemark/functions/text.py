@@ -163,17 +163,15 @@ def parse_address(df: DataFrame, address: str, places: DataFrame, city: str, sma
 
     places: (gu, dong, code). The join is by district and by the first two characters of the area's name.
     """
-    text = squeezed(address)
-    df = df.withColumn("_t", text)
-    df = df.withColumn("_gu", F.nullif(F.regexp_extract("_t", rf"^{city} ?([^ ]+?구) ", 1), F.lit("")))
-    df = df.withColumn("_rest", F.regexp_replace("_t", rf"^{city} ?[^ ]+?구 ", "")).withColumn("_id", F.monotonically_increasing_id())
+    whole = df.withColumn("_t", squeezed(address))
+    texts = whole.select("_t").distinct()  # each different address is parsed once
+    texts = texts.withColumn("_gu", F.nullif(F.regexp_extract("_t", rf"^{city} ?([^ ]+?구) ", 1), F.lit(""))).withColumn("_rest", F.regexp_replace("_t", rf"^{city} ?[^ ]+?구 ", ""))
     sent = F.broadcast if places.count() <= small else (lambda x: x)
     p = sent(places.select(F.col("gu").alias("_pg"), F.col("dong").alias("_pd"), F.col("code").alias("_pc"), F.substring("dong", 1, 2).alias("_p2")))
-    pairs = df.join(p, (F.col("_gu") == F.col("_pg")) & (F.substring("_rest", 1, 2) == F.col("_p2")), "left")
+    pairs = texts.join(p, (F.col("_gu") == F.col("_pg")) & (F.substring("_rest", 1, 2) == F.col("_p2")), "left")
     hit = F.startswith(F.col("_rest"), F.col("_pd"))
     longest = F.max(F.when(hit, F.struct(F.length("_pd").alias("n"), F.col("_pd").alias("dong"), F.col("_pc").alias("code")))).alias("_best")
-    kept = [c for c in df.columns if c != "_id"]
-    found = pairs.groupBy("_id", *kept).agg(longest)
+    found = pairs.groupBy("_t", "_gu", "_rest").agg(longest)
     lot = F.substring(F.col("_rest"), F.length("_best.dong") + 1, F.length("_rest"))
     parts = r"^ *(산)? *(\d{1,4})(?:-(\d{1,4}))?"
     main, sub = F.regexp_extract(lot, parts, 2), F.regexp_extract(lot, parts, 3)
@@ -182,10 +180,12 @@ def parse_address(df: DataFrame, address: str, places: DataFrame, city: str, sma
         .when(F.col("_best").isNull(), "no_area").when(main == "", "no_lot").otherwise("ok")
     )
     ok = F.col("parse_status") == "ok"
-    out = found.withColumn("parse_status", status)
     hill = F.regexp_extract(lot, parts, 1) == "산"
     pnu = parcel_number(F.col("_best.code"), hill, main, F.when(sub == "", "0").otherwise(sub))
-    return out.select(*[c for c in kept if c not in ("_t", "_gu", "_rest")], "parse_status", F.col("_gu").alias("gu"), F.col("_best.dong").alias("dong"), F.when(ok, hill).alias("hill"), F.when(ok, pnu).alias("pnu"))
+    found = found.withColumn("parse_status", status)
+    found = found.select(F.col("_t").alias("_u"), "parse_status", F.col("_gu").alias("_g"), F.col("_best.dong").alias("_d"), F.when(ok, hill).alias("_h"), F.when(ok, pnu).alias("_n"))
+    out = whole.join(found, F.col("_t").eqNullSafe(F.col("_u")))
+    return out.select(*df.columns, "parse_status", F.col("_g").alias("gu"), F.col("_d").alias("dong"), F.col("_h").alias("hill"), F.col("_n").alias("pnu"))
 
 
 def parcel_number(code: Column, hill: Column, main: Column, sub: Column) -> Column:

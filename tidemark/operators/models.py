@@ -144,11 +144,11 @@ def rate_table(train: DataFrame, rows: DataFrame, cell: Sequence[str], y: str, l
 def permuted(rows: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
     """Rows whose columns come, together, from another row: the order of keys meets the order of hashes.
 
-    Row numbers are given by ranges of the hash, so that no task orders all rows.
+    Row numbers are given inside parts of a hash of the key, of 50,000 rows each or so, so that no task orders all rows.
     """
     from pyspark.sql import Window as W
 
-    parts = 64
+    parts = max(64, rows.count() // 50_000)
     h = F.xxhash64(F.lit(seed), F.col(key))
     a = rows.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(parts))).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(key)))
     b = rows.select(F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).alias("_b"), h.alias("_h"), *[F.col(c).alias(f"_s_{c}") for c in columns])

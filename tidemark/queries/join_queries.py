@@ -238,7 +238,19 @@ def polygon(t):
     return areas(t).select("code", G.polygon_area(F.col("ring")).alias("area"))
 
 
-@query("g02_projection")
+_E2 = "(1 / 298.257222101 * (2 - 1 / 298.257222101))"
+
+
+def _arc(phi):
+    e = _E2
+    return f"6378137.0 * ((1 - {e} / 4 - 3 * pow({e}, 2) / 64 - 5 * pow({e}, 3) / 256) * {phi} - (3 * {e} / 8 + 3 * pow({e}, 2) / 32 + 45 * pow({e}, 3) / 1024) * sin(2 * {phi}) + (15 * pow({e}, 2) / 256 + 45 * pow({e}, 3) / 1024) * sin(4 * {phi}) - (35 * pow({e}, 3) / 3072) * sin(6 * {phi}))"
+
+
+@query(
+    "g02_projection",
+    f"""WITH a AS (SELECT id, radians(37.5 + y / 1000) AS phi, radians(126.9 + x / 1000 - 127.5) AS dl, {_E2} / (1 - {_E2}) AS ep FROM points), b AS (SELECT *, 6378137.0 / sqrt(1 - {_E2} * pow(sin(phi), 2)) AS n, pow(tan(phi), 2) AS t, ep * pow(cos(phi), 2) AS c, dl * cos(phi) AS a, {_arc('phi')} - {_arc('radians(38.0)')} AS m FROM a)
+    SELECT id, round_even(1000000.0 + 0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(a, 5) / 120), 3) AS east, round_even(2000000.0 + 0.9996 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(a, 6) / 720)), 3) AS north FROM b""",
+)
 def projection(t):
     lon, lat = 126.9 + F.col("x") / 1000, 37.5 + F.col("y") / 1000
     east, north = G.transverse_mercator(lon, lat)
@@ -286,7 +298,13 @@ def roots(t):
     return R.chain_roots(links(t).filter("NOT ambiguous"), "old_id", "new_id", 7)
 
 
-@query("a07_entities")
+@query(
+    "a07_entities",
+    f"""WITH RECURSIVE {_LINKS}, cl AS (SELECT old_id, new_id FROM lk WHERE NOT ambiguous), u AS (SELECT new_id AS id, old_id AS root, 1 AS n FROM cl UNION ALL SELECT u.id, cl.old_id, n + 1 FROM u JOIN cl ON cl.new_id = u.root), rt AS (SELECT id, arg_max(root, n) AS root FROM u GROUP BY 1),
+    so AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS no FROM (SELECT DISTINCT snapshot FROM snapshots)), per AS (SELECT s.id, arg_max(name, (no, name)) AS name_last, arg_max(block, (no, block)) AS block_last, min(s.snapshot) AS first_seen, max(s.snapshot) AS last_seen, count(DISTINCT no) AS n_snapshots,
+    max(no) - min(no) + 1 > count(DISTINCT no) AS has_gap, count(DISTINCT name) AS n_name, count(DISTINCT block) AS n_block FROM snapshots s JOIN so USING (snapshot) GROUP BY 1), e AS (SELECT per.*, coalesce(root, per.id) AS entity_id FROM per LEFT JOIN rt ON rt.id = per.id)
+    SELECT *, count(*) OVER w AS entity_size, min(first_seen) OVER w AS entity_first, max(last_seen) OVER w AS entity_last FROM e WINDOW w AS (PARTITION BY entity_id)""",
+)
 def entities(t):
     rows = t.snapshots()
     r = R.chain_roots(links(t).filter("NOT ambiguous"), "old_id", "new_id", 7)

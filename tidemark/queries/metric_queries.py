@@ -249,22 +249,36 @@ FACTORS = {"size": ["a"], "age": ["b"], "place": ["c", "d"]}
 
 def explained(t, shift=0):
     rows = t.part.select("p_partkey", (F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_partkey") % 7 / 7).alias("c"), (F.col("p_partkey") % 3 / 3).alias("d"))
-    background = t.part.filter(f"p_partkey % 40 = {1 + shift}").select((F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_partkey") % 7 / 7).alias("c"), (F.col("p_partkey") % 3 / 3).alias("d"), F.xxhash64("p_partkey").alias("_o")).orderBy("_o").limit(64).drop("_o")
+    background = t.part.filter(f"p_partkey % 40 = {1 + shift}").select((F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"), (F.col("p_partkey") % 7 / 7).alias("c"), (F.col("p_partkey") % 3 / 3).alias("d"), F.col("p_partkey").alias("_o")).orderBy("_o").limit(64).drop("_o")
     score = lambda v: 1 / (1 + F.exp(-(v["a"] - v["b"] + v["c"] * v["d"])))
     return E.shapley(rows, background, FACTORS, score, "p_partkey")
 
 
-@query("m23_factor_shapley")
+def _explained(shift=0):
+    cols = "p_size / 50 AS a, p_retailprice / 2000 AS b, p_partkey % 7 / 7 AS c, p_partkey % 3 / 3 AS d"
+    take = lambda bit, c: f"CASE WHEN (mask & {bit}) <> 0 THEN r.{c} ELSE g.{c} END"
+    value = f"1 / (1 + exp(-({take(1, 'a')} - {take(2, 'b')} + {take(4, 'c')} * {take(4, 'd')})))"
+    wide = ", ".join(f"max(v) FILTER (mask = {m}) AS v{m}" for m in range(8))
+    part = lambda i, j, k: f"(v{i} - v0) / 3 + (v{i + j} - v{j}) / 6 + (v{i + k} - v{k}) / 6 + (v7 - v{7 - i}) / 3"
+    return f"""(SELECT p_partkey, v0 AS base, v7 AS score, unnest(['size', 'age', 'place']) AS factor, unnest([{part(1, 2, 4)}, {part(2, 1, 4)}, {part(4, 1, 2)}]) AS contribution FROM (SELECT p_partkey, {wide} FROM
+        (SELECT r.p_partkey, mask, avg({value}) AS v FROM (SELECT p_partkey, {cols} FROM part) r, (SELECT {cols} FROM part WHERE p_partkey % 40 = {1 + shift} ORDER BY p_partkey LIMIT 64) g, range(8) m(mask) GROUP BY 1, 2) GROUP BY 1))"""
+
+
+@query("m23_factor_shapley", f"SELECT p_partkey, factor, round_even(contribution, 6) AS contribution, round_even(base, 6) AS base, round_even(score, 6) AS score FROM {_explained()}")
 def shapley(t):
     return rounded(explained(t), "contribution", "base", "score")
 
 
-@query("m26_two_backgrounds")
+def _direction(c):
+    return f"CASE WHEN abs({c}) < 0.001 THEN 'neutral' WHEN {c} > 0 THEN 'up' ELSE 'down' END"
+
+
+@query("m26_two_backgrounds", f"SELECT a.factor, count(*) AS n, count(*) FILTER ({_direction('a.contribution')} <> {_direction('b.contribution')}) AS n_sensitive FROM {_explained()} a JOIN {_explained(1)} b ON a.p_partkey = b.p_partkey AND a.factor = b.factor GROUP BY 1")
 def sensitivity(t):
     return E.compare_explanations(explained(t), explained(t, 1), "p_partkey").groupBy("factor").agg(F.count("*").alias("n"), F.count_if("sensitive").alias("n_sensitive"))
 
 
-@query("w08_top_factor")
+@query("w08_top_factor", f"WITH x AS (SELECT p_partkey, arg_max(factor, contribution) AS top_factor FROM {_explained()} GROUP BY 1) SELECT top_factor, count(*) AS n FROM x GROUP BY 1")
 def top(t):
     return E.top_factor(explained(t), "p_partkey").groupBy("top_factor").agg(F.count("*").alias("n"))
 
