@@ -238,3 +238,31 @@ def error_kind(body: str | Column) -> Column:
     """Kind of a JSON error body: quota, auth, server, none."""
     code = F.get_json_object(col(body), "$.error.errorCode")
     return F.when(code.isNull(), "none").when(code.isin("429", "010", "012"), "quota").when(code.isin("401", "403", "024"), "auth").otherwise("server")
+
+
+#: Signals of attention: for each, its texts for a value below, at and above zero (%d is the value without its sign), in that order.
+SIGNALS = {
+    "trend_6m": ("%d mentions fewer in the last 6 months than in the 6 before", "as many mentions in both halves of the year", "%d mentions more in the last 6 months than in the 6 before"),
+    "cnt_12m": (None, "%d mentions in the last 12 months", "%d mentions in the last 12 months"), "cnt_3m": (None, "%d mentions in the last 3 months", "%d mentions in the last 3 months"),
+    "has_12m": (None, "no mention in the last 12 months", "mentioned in the last 12 months"), "has_ever": (None, "never mentioned", "mentioned before"),
+    "months_since_last": (None, "mentioned this month", "%d months since the last mention"),
+}
+#: Classes of these texts, in the order in which they are tried.
+SIGNAL_CLASSES = [
+    ("unobservable", r"not observable \(search limit\)"), ("low_exposure", r"never mentioned|no mention in the last 12 months|0 mentions in the last \d+ months|\d+ mentions fewer in .*|\d+ months since the last mention"),
+    ("presence", r"mentioned .*|[1-9]\d* mentions in the last \d+ months|\d+ mentions more in .*"), ("neutral", r"as many mentions in both halves of the year"),
+]
+
+
+def signal_text(feature: str, value: str, ever: str) -> Column:
+    """What a signal says in words: a missing recency of a store that was never mentioned isn't an unobservable one."""
+    v = F.col(value).cast("int")
+    out = F.when(F.col(value).isNull(), F.when((F.col(feature) == "months_since_last") & F.col(ever).isNotNull(), "never mentioned").otherwise("not observable (search limit)"))
+    for name, texts in SIGNALS.items():
+        said = [F.lit(None) if t is None else F.replace(F.lit(t), F.lit("%d"), F.abs(v).cast("string")) for t in texts]
+        out = out.when(F.col(feature) == name, F.when(v < 0, said[0]).when(v == 0, said[1]).otherwise(said[2]))
+    return out
+
+
+def signal_class(text: str) -> Column:
+    return classify_text(F.col(text), SIGNAL_CLASSES)

@@ -177,3 +177,25 @@ def band_rule_values(scored: DataFrame, origin: str, y: str = "y", p: str = "p",
     """For each origin what the band rules would give: its base rate, the cut-off of a lift over it, and that of a share of the scores."""
     per = scored.groupBy(origin, F.col(p).alias("_p")).agg(F.count("*").alias("_n"), F.sum(y).alias("_e"))
     return per.groupBy(origin).agg((F.sum("_e") / F.sum("_n")).alias("base_rate"), (lift * F.sum("_e") / F.sum("_n")).alias("mid"), F.percentile("_p", F.lit(share), F.col("_n")).alias("high"))
+
+
+def balance_table(rows: DataFrame, treated: str, continuous: Sequence[str], binary: Sequence[str], categories: Sequence[str], flag: float = 0.1) -> DataFrame:
+    """(variable, kind, mean_treated, mean_control, smd, imbalanced): means of columns, shares of yes, and shares of each level (a missing one too).
+
+    Shares are compared with the spread that a share has. Everything is one pass over long rows.
+    """
+    cells = [F.struct(F.lit(c).alias("variable"), F.lit(k).alias("kind"), F.col(c).cast("double").alias("x")) for k, cs in (("continuous", continuous), ("binary", binary)) for c in cs]
+    long = rows.select(F.col(treated).alias("t"), F.explode(F.array(*cells)).alias("v")).select("t", "v.*").filter("x IS NOT NULL")
+    arm = long.groupBy("variable", "kind", "t").agg(F.avg("x").alias("m"), F.var_samp("x").alias("s2"))
+    if categories:
+        levels = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("l")) for c in categories]))
+        size = rows.groupBy(F.col(treated).alias("t")).agg(F.count("*").alias("n"))
+        each = rows.select(F.col(treated).alias("t"), levels.alias("v")).groupBy("t", "v.c", "v.l").agg(F.count("*").alias("k"))
+        grid = each.select("c", "l").distinct().crossJoin(F.broadcast(size))
+        per = grid.join(each, ["t", "c", "l"], "left")
+        arm = arm.unionByName(per.select(F.concat_ws("=", "c", "l").alias("variable"), F.lit("level").alias("kind"), "t", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("m"), F.lit(None).cast("double").alias("s2")))
+    spread = F.when(F.col("kind") == "continuous", F.col("s2")).otherwise(F.col("m") * (1 - F.col("m")))
+    pick = lambda c, t: F.max(F.when(F.col("t") == t, c))
+    both = arm.groupBy("variable", "kind").agg(pick(F.col("m"), 1).alias("mean_treated"), pick(F.col("m"), 0).alias("mean_control"), ((pick(spread, 1) + pick(spread, 0)) / 2).alias("_s"))
+    d = (F.col("mean_treated") - F.col("mean_control")) / F.sqrt(F.nullif(F.col("_s"), F.lit(0.0)))
+    return both.select("variable", "kind", "mean_treated", "mean_control", d.alias("smd"), F.coalesce(F.abs(d) > flag, F.lit(False)).alias("imbalanced"))

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +44,28 @@ def binned(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     return df.withColumns({f"_x_{c}": number(c) for c in edges})
 
 
-def boosted(train: DataFrame, columns: Sequence[str], y: str, trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 1) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds p to rows. Missing values have a bin of their own, so that trees can split on them."""
-    edges = bin_edges(train, columns)
-    stage = VectorAssembler(inputCols=[f"_x_{c}" for c in edges], outputCol="_v")
+def boosted_stages(edges: dict, indexed: Sequence[str], trees: int, depth: int, rate: float, seed: int) -> list:
     gbt = GBTClassifier(labelCol="_y", featuresCol="_v", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=64, predictionCol="_c").setProbabilityCol("_p").setRawPredictionCol("_r")
-    model = Pipeline(stages=[stage, gbt]).fit(binned(train.withColumn("_y", F.col(y).cast("double")), edges))
+    return [VectorAssembler(inputCols=[*[f"_x_{c}" for c in edges], *indexed], outputCol="_v"), gbt]
+
+
+def boosted(train: DataFrame, columns: Sequence[str], y: str, trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 1, categories: Sequence[str] = ()) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds p to rows. Missing values have a bin of their own, so that trees can split on them.
+
+    Categories (of 60 values at most) are split as sets of values; a missing or unknown one is a value of its own.
+    """
+    edges = bin_edges(train, columns)
+    if categories:
+        from pyspark.ml.feature import StringIndexer
+
+        index = StringIndexer(inputCols=list(categories), outputCols=[f"_i_{c}" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
+        if too_many := [c for c, labels in zip(categories, index.labelsArray, strict=True) if len(labels) > 60]:
+            raise ContractError(f"too many values for a category: {too_many}")
+        plain = boosted_stages(edges, [f"_i_{c}" for c in categories], trees, depth, rate, seed)
+        made = Pipeline(stages=plain).fit(index.transform(binned(train.withColumn("_y", F.col(y).cast("double")), edges)))
+        extra = [f"_i_{c}" for c in categories]
+        return lambda rows: made.transform(index.transform(binned(rows, edges))).withColumn("p", vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c", *extra, *[f"_x_{c}" for c in edges])
+    model = Pipeline(stages=boosted_stages(edges, [], trees, depth, rate, seed)).fit(binned(train.withColumn("_y", F.col(y).cast("double")), edges))
     return lambda rows: model.transform(binned(rows, edges)).withColumn("p", vector_to_array("_p")[1]).drop("_v", "_p", "_r", "_c", *[f"_x_{c}" for c in edges])
 
 
@@ -156,20 +172,30 @@ def permuted(rows: DataFrame, columns: Sequence[str], key: str, seed: int) -> Da
     return a.join(b, ["_b", "_r"]).withColumns({c: F.col(f"_s_{c}") for c in columns}).drop("_b", "_r", *[f"_s_{c}" for c in columns])
 
 
-def treatment_effect(rows: DataFrame, covariates: Sequence[str], treated: str, outcome: str, key: str, folds: int = 3, cut: float = 0.05) -> DataFrame:
+def treatment_effect(rows: DataFrame, covariates: Sequence[str], treated: str, outcome: str, key: str, folds: int = 5, cut: float = 0.05, repeats: int = 1, learner: str = "linear", seed: int = 1) -> DataFrame:
     """Cross-fitted doubly robust average effect: one row with ate, se, limits, n and how many were treated.
 
-    Each fold's nuisance models come from the other folds; the orthogonal score is a plain column, its mean and spread one aggregation.
+    Each fold's nuisance models (linear, or boosted trees) come from the other folds; the orthogonal score is a plain column, its mean and
+    spread one aggregation. With repeats, folds are drawn anew each time: the median of the effects counts, and its error takes in how far they lie apart.
     """
+    if repeats > 1:
+        once = [treatment_effect(rows, covariates, treated, outcome, key, folds, cut, 1, learner, seed + k).first().asDict() for k in range(repeats)]
+        median = lambda v: sorted(v)[len(v) // 2] if len(v) % 2 else sum(sorted(v)[len(v) // 2 - 1 : len(v) // 2 + 1]) / 2
+        ate = median([r["ate"] for r in once])
+        se = median([r["se"] ** 2 + (r["ate"] - ate) ** 2 for r in once]) ** 0.5
+        return rows.sparkSession.createDataFrame([(ate, se, ate - 1.96 * se, ate + 1.96 * se, once[0]["n"], once[0]["n_treated"])], "ate double, se double, low double, high double, n long, n_treated long")
     assembler = VectorAssembler(inputCols=list(covariates), outputCol="_v")
     data = assembler.transform(rows.select(key, F.col(treated).cast("double").alias("_d"), F.col(outcome).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in covariates]).dropna())
-    data = data.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    data = data.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)))
     parts = None
     for k in range(folds):
         train, test = data.filter(F.col("_fold") != k), data.filter(F.col("_fold") == k)
-        ps = LogisticRegression(labelCol="_d", featuresCol="_v", regParam=0.01, probabilityCol="_ps", rawPredictionCol="_pr", predictionCol="_pc").fit(train)
-        g1 = LinearRegression(labelCol="_y", featuresCol="_v", regParam=0.01, predictionCol="_g1").fit(train.filter("_d = 1"))
-        g0 = LinearRegression(labelCol="_y", featuresCol="_v", regParam=0.01, predictionCol="_g0").fit(train.filter("_d = 0"))
+        if learner == "boosted":
+            ps = GBTClassifier(labelCol="_d", featuresCol="_v", maxIter=20, maxDepth=3, seed=seed, predictionCol="_pc").setProbabilityCol("_ps").setRawPredictionCol("_pr").fit(train)
+            g1, g0 = (GBTRegressor(labelCol="_y", featuresCol="_v", maxIter=20, maxDepth=3, seed=seed, predictionCol=f"_g{k}").fit(train.filter(F.col("_d") == k)) for k in (1, 0))
+        else:
+            ps = LogisticRegression(labelCol="_d", featuresCol="_v", regParam=0.01, probabilityCol="_ps", rawPredictionCol="_pr", predictionCol="_pc").fit(train)
+            g1, g0 = (LinearRegression(labelCol="_y", featuresCol="_v", regParam=0.01, predictionCol=f"_g{k}").fit(train.filter(F.col("_d") == k)) for k in (1, 0))
         scored = g0.transform(g1.transform(ps.transform(test))).withColumn("_e", F.greatest(F.least(vector_to_array("_ps")[1], F.lit(1 - cut)), F.lit(cut))).select("_d", "_y", "_e", "_g1", "_g0")
         parts = scored if parts is None else parts.unionByName(scored)
     psi = F.col("_g1") - F.col("_g0") + F.col("_d") * (F.col("_y") - F.col("_g1")) / F.col("_e") - (1 - F.col("_d")) * (F.col("_y") - F.col("_g0")) / (1 - F.col("_e"))

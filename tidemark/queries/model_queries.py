@@ -185,3 +185,21 @@ def stability(t):
         return t.part.select(k, F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), v.alias("contribution")) for n, v in (("x", F.col("p_size") / F.lit(float(size))), ("y", k % m / F.lit(float(m)) - 0.3), ("z", F.lit(0.2)))])).alias("r")).select(k, "r.factor", "r.contribution")
 
     return rounded(U.agreement(made(50, 7), made(60, 5), "p_partkey"), "top1_agreement", "sign_agreement")
+
+
+@query(
+    "a30_balance_table",
+    """WITH r AS (SELECT (o_orderpriority = '1-URGENT')::INT AS t, o_totalprice AS x, (o_custkey % 3 = 0)::INT AS b, o_orderstatus AS s FROM orders), c AS (SELECT 'x' AS variable, 'continuous' AS kind, t, avg(x) AS m, var_samp(x) AS s2 FROM r GROUP BY t UNION ALL SELECT 'b', 'binary', t, avg(b), avg(b) * (1 - avg(b)) FROM r GROUP BY t
+    UNION ALL SELECT 's=' || l, 'level', t, avg((s = l)::INT), avg((s = l)::INT) * (1 - avg((s = l)::INT)) FROM r, (SELECT DISTINCT o_orderstatus AS l FROM orders) GROUP BY l, t), w AS (SELECT variable, kind, max(m) FILTER (t = 1) AS a, max(m) FILTER (t = 0) AS b, (max(s2) FILTER (t = 1) + max(s2) FILTER (t = 0)) / 2 AS s FROM c GROUP BY 1, 2)
+    SELECT variable, kind, round_even(a, 4) AS mean_treated, round_even(b, 4) AS mean_control, round_even((a - b) / sqrt(nullif(s, 0)), 5) AS smd, coalesce(abs((a - b) / sqrt(nullif(s, 0))) > 0.1, false) AS imbalanced FROM w""",
+)
+def balance(t):
+    rows = t.orders.select((F.col("o_orderpriority") == "1-URGENT").cast("int").alias("t"), F.col("o_totalprice").alias("x"), (F.col("o_custkey") % 3 == 0).cast("int").alias("b"), F.col("o_orderstatus").alias("s"))
+    return rounded(rounded(M.balance_table(rows, "t", ["x"], ["b"], ["s"]), "mean_treated", "mean_control", digits=4), "smd", digits=5)
+
+
+@query("m01_categories_as_sets")
+def categories(t):
+    p = modelled(t)
+    score = ML.boosted(p.filter("origin_no <= 7992"), ["area", "age"], "event_12m", trees=4, depth=3, categories=["biz_type"])
+    return rounded(M.ranking(score(p.filter("origin_no = 7998")).withColumn("y", F.col("event_12m")), ["origin"]).select("origin", "n", "events", "auc"), "auc", digits=2)

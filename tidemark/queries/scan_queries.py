@@ -283,3 +283,15 @@ def synthetic(t):
 def labelled(t):
     sample = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("store_id"), S.rounded("o_totalprice", 2).alias("score"))
     return T.labelled_sample(sample, t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("store_id"), F.col("o_orderstatus").alias("label")))
+
+
+@query("s13_file_row_numbers", "SELECT o_orderkey::VARCHAR AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
+def row_numbers(t):
+    rows = t.orders.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").select(text("o_orderkey").alias("k"))
+    return R.file_rows(t.spark.read.schema("k string").csv(stored(rows, "survey.csv", "csv", header=True), header=True))
+
+
+@query("s17_master_scan", "SELECT store_id, origin, event_12m::BIGINT AS event_12m, area FROM panel")
+def master_scan(t):
+    path = stored(t.panel().select("store_id", "origin", "event_12m", "area", "gu"), "master")
+    return R.panel_columns(t.spark, path, ["store_id", "origin", "event_12m", "area"], ["store_id", "origin"]).sort("store_id", "origin")

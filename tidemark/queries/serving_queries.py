@@ -268,3 +268,36 @@ def report(t):
 def reverse(t):
     docs = t.part.select(F.when(F.col("p_partkey") % 100 == 0, F.concat(F.lit("see "), "p_name", F.lit(" #"), text("p_partkey"))).otherwise("nothing").alias("document"))
     return docs.filter(F.col("document").rlike(r"#\d+")).agg(F.count("*").alias("n_found"))
+
+
+_SIGNALS = """WITH f AS (SELECT p_partkey, unnest(['trend_6m', 'cnt_12m', 'cnt_3m', 'has_12m', 'has_ever', 'months_since_last']) AS f, unnest([p_partkey % 7 - 3, p_partkey % 4, p_partkey % 3, p_partkey % 2, p_partkey % 2, p_partkey % 6]) AS v0 FROM part), g AS (SELECT p_partkey, f, CASE WHEN p_partkey % 9 <> 0 THEN v0 END AS v, p_partkey % 18 <> 0 AS ever FROM f),
+    s AS (SELECT p_partkey, f AS feature, CASE WHEN v IS NULL THEN CASE WHEN f = 'months_since_last' AND ever THEN 'never mentioned' ELSE 'not observable (search limit)' END WHEN f = 'trend_6m' THEN CASE WHEN v = 0 THEN 'as many mentions in both halves of the year' ELSE abs(v) || ' mentions ' || CASE WHEN v < 0 THEN 'fewer' ELSE 'more' END || ' in the last 6 months than in the 6 before' END
+    WHEN f = 'cnt_12m' THEN v || ' mentions in the last 12 months' WHEN f = 'cnt_3m' THEN v || ' mentions in the last 3 months' WHEN f = 'has_12m' THEN CASE WHEN v = 0 THEN 'no mention in the last 12 months' ELSE 'mentioned in the last 12 months' END WHEN f = 'has_ever' THEN CASE WHEN v = 0 THEN 'never mentioned' ELSE 'mentioned before' END
+    ELSE CASE WHEN v = 0 THEN 'mentioned this month' ELSE v || ' months since the last mention' END END AS said, v FROM g)
+    SELECT p_partkey, feature, said, CASE WHEN said = 'not observable (search limit)' THEN 'unobservable' WHEN said = 'as many mentions in both halves of the year' THEN 'neutral' WHEN said = 'never mentioned' OR (feature = 'trend_6m' AND v < 0) OR (feature IN ('cnt_12m', 'cnt_3m', 'has_12m') AND v = 0) OR (feature = 'months_since_last' AND v > 0) THEN 'low_exposure' ELSE 'presence' END AS class FROM s"""
+
+
+@query("n19_signal_texts", _SIGNALS)
+def signals(t):
+    from tidemark.functions import text as X
+
+    k = F.col("p_partkey")
+    values = {"trend_6m": k % 7 - 3, "cnt_12m": k % 4, "cnt_3m": k % 3, "has_12m": k % 2, "has_ever": k % 2, "months_since_last": k % 6}
+    rows = t.part.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.when(k % 9 != 0, v).alias("v")) for n, v in values.items()])).alias("r"), F.when(k % 18 != 0, F.lit(0)).alias("ever"))
+    rows = rows.select("p_partkey", "r.feature", "r.v", "ever").withColumn("said", X.signal_text("feature", "v", "ever"))
+    return rows.select("p_partkey", "feature", "said", X.signal_class("said").alias("class"))
+
+
+@query("d03_full_reports", """WITH o AS (SELECT o_custkey AS k, list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus} ORDER BY o_orderkey, o_orderstatus) AS v FROM orders GROUP BY 1), s AS (SELECT o_custkey AS k, list({'status': st, 'n': n} ORDER BY st, n) AS v FROM (SELECT o_custkey, o_orderstatus AS st, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1), p AS (SELECT o_custkey AS k, list({'priority': pr, 'n': n} ORDER BY pr, n) AS v FROM (SELECT o_custkey, o_orderpriority AS pr, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1),
+    y AS (SELECT o_custkey AS k, list({'year': y, 'n': n} ORDER BY y, n) AS v FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1), l AS (SELECT o_custkey AS k, list({'supplier': s, 'n': n} ORDER BY s, n) AS v FROM (SELECT o_custkey, l_suppkey AS s, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY 1), n AS (SELECT c_custkey AS k, list({'nation': n_name, 'region': n_regionkey}) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
+    SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"' || ',"orders":' || coalesce(to_json(o.v)::VARCHAR, '[]') || ',"statuses":' || coalesce(to_json(s.v)::VARCHAR, '[]') || ',"priorities":' || coalesce(to_json(p.v)::VARCHAR, '[]') || ',"years":' || coalesce(to_json(y.v)::VARCHAR, '[]') || ',"suppliers":' || coalesce(to_json(l.v)::VARCHAR, '[]') || ',"places":' || coalesce(to_json(n.v)::VARCHAR, '[]') || '}' AS document
+    FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN s ON s.k = c_custkey LEFT JOIN p ON p.k = c_custkey LEFT JOIN y ON y.k = c_custkey LEFT JOIN l ON l.k = c_custkey LEFT JOIN n ON n.k = c_custkey""")
+def full_reports(t):
+    o = t.orders.withColumn("c_custkey", F.col("o_custkey"))
+    count = lambda df, c, name: df.groupBy("c_custkey", c.alias(name)).agg(F.count("*").alias("n"))
+    bought = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = {
+        "orders": o.select("c_custkey", "o_orderkey", "o_orderstatus"), "statuses": count(o, F.col("o_orderstatus"), "status"), "priorities": count(o, F.col("o_orderpriority"), "priority"), "years": count(o, F.year("o_orderdate"), "year"),
+        "suppliers": count(bought, F.col("l_suppkey"), "supplier"), "places": t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"), F.col("n_regionkey").alias("region")),
+    }
+    return PB.reports(t.customer.select("c_custkey", "c_name"), parts, "c_custkey")

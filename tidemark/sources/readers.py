@@ -52,13 +52,18 @@ def snapshots(spark: SparkSession, paths: Sequence[str], columns: Sequence[str],
 
 
 def file_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A number for each row in the order of the files. Two passes: sizes of partitions, then numbers inside them."""
+    """A number from 0 for each row of a scan in the order of the files' names and of the rows in them.
+
+    Splits are told apart by file and offset; sizes of splits come first, then numbers inside them, so that no task has all rows.
+    """
     from pyspark.sql import Window as W
 
-    marked = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+    marked = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")).withColumn("_at", F.monotonically_increasing_id())
+    sizes = marked.groupBy("_f", "_b").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_f").alias("_g"), F.col("_b").alias("_c"), (F.sum("_n").over(W.orderBy("_f", "_b")) - F.col("_n")).alias("_before"))
+    joined = marked.join(F.broadcast(before), (F.col("_f") == F.col("_g")) & (F.col("_b") == F.col("_c")))
+    place = F.row_number().over(W.partitionBy("_f", "_b").orderBy("_at"))
+    return joined.withColumn(name, F.col("_before") + place - 1).drop("_at", "_f", "_b", "_g", "_c", "_before")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
