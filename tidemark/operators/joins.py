@@ -178,3 +178,21 @@ def best_two(scored: DataFrame, id: str, entity: str, score: str, margin: float)
     top = per.groupBy(id).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(entity).alias("e")))), 1, 2).alias("_t"))
     best, following = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
     return top.select(id, best["e"].alias("best"), F.bround(-best["o"], 4).alias("score"), F.bround(-following["o"], 4).alias("runner_up"), F.coalesce(F.bround(following["o"] - best["o"], 4) < margin, F.lit(False)).alias("ambiguous"))
+
+
+def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key in an order that leaves no ties; an aggregation, so that rows are dropped before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
+    return first.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in rest])
+
+
+def ends_by_order(df: DataFrame, key: str, id: str, order: Sequence[str]) -> DataFrame:
+    """For each key its first and its last id in an order, and how many rows it has."""
+    by = F.struct(*order)
+    return df.groupBy(key).agg(F.min_by(id, by).alias("first"), F.max_by(id, by).alias("last"), F.count("*").alias("n"))
+
+
+def unambiguous(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keys that stand for one value only, with it."""
+    return df.groupBy(*keys).agg(F.min(value).alias(value), (F.min(value) == F.max(value)).alias("_one")).filter("_one").drop("_one")

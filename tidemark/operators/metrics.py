@@ -199,3 +199,12 @@ def balance_table(rows: DataFrame, treated: str, continuous: Sequence[str], bina
     both = arm.groupBy("variable", "kind").agg(pick(F.col("m"), 1).alias("mean_treated"), pick(F.col("m"), 0).alias("mean_control"), ((pick(spread, 1) + pick(spread, 0)) / 2).alias("_s"))
     d = (F.col("mean_treated") - F.col("mean_control")) / F.sqrt(F.nullif(F.col("_s"), F.lit(0.0)))
     return both.select("variable", "kind", "mean_treated", "mean_control", d.alias("smd"), F.coalesce(F.abs(d) > flag, F.lit(False)).alias("imbalanced"))
+
+
+def lift_crossings(scored: DataFrame, steps: int, target: float = 1.0, least: int = 50, y: str = "y", p: str = "p") -> DataFrame:
+    """How often the lift of the rows above a cut-off crosses a target as the cut-off falls; cut-offs with few rows above are left out."""
+    d = scored.groupBy(F.floor(F.col(p) * steps).alias("k")).agg(F.count("*").alias("n"), F.sum(y).alias("e"))
+    w = W.orderBy(F.desc("k"))  # a row for each step
+    c = d.withColumn("cn", F.sum("n").over(w)).withColumn("ce", F.sum("e").over(w)).filter(F.col("cn") >= least).crossJoin(F.broadcast(d.agg((F.sum("e") / F.sum("n")).alias("base"))))
+    c = c.withColumn("above", F.col("ce") / F.col("cn") / F.col("base") >= target).withColumn("b", F.lag("above").over(W.orderBy("k")))
+    return c.agg(F.count_if(F.col("above") != F.col("b")).alias("crossings"), F.count_if("above").alias("n_above"), F.count("*").alias("n_cuts"))

@@ -82,3 +82,24 @@ def survival(stores: DataFrame, as_of: Column, by: tuple[str, ...] = (), days: f
     factor = F.when(F.col("events") == F.col("at_risk"), F.lit(None)).otherwise(F.ln(1 - F.col("events") / F.col("at_risk")))
     dead = F.max((F.col("events") == F.col("at_risk")).cast("int")).over(upto)
     return table.withColumn("survival", F.when(dead == 1, 0.0).otherwise(F.exp(F.sum(F.coalesce(factor, F.lit(0.0))).over(upto))))
+
+
+def store_status(close: str, status: str, closed_codes: tuple[str, ...]) -> Column:
+    """closed by a date, unknown if only the status says so, else open."""
+    return F.when(F.col(close).isNotNull(), "closed").when(F.col(status).isin(*closed_codes), "unknown").otherwise("open")
+
+
+def masked_origins(df: DataFrame, origins: tuple[str, ...], columns: tuple[str, ...], origin: str = "origin") -> DataFrame:
+    """Features of some origins removed; their rows stay."""
+    return df.withColumns({c: F.when(~F.col(origin).isin(*origins), F.col(c)) for c in columns})
+
+
+def coarsened(df: DataFrame, area: str, months: str) -> DataFrame:
+    """Area to ten square metres and age to whole years, as they may be released."""
+    return df.withColumn("area_10", F.bround(F.col(area) / 10, 0) * 10).withColumn("age_years_in_months", (F.floor(F.col(months) / 12) * 12).cast("double"))
+
+
+def population(stores: DataFrame, district: str, kind: str, kinds: tuple[str, ...], close: str) -> DataFrame:
+    """Stores by district and kind, other kinds together, and how many are still open: one row for each district."""
+    k = F.col(kind)
+    return stores.groupBy(district).agg(*[F.count_if(k == v).alias(f"n{i}") for i, v in enumerate(kinds)], F.count_if(~k.isin(*kinds)).alias("other"), F.count_if(F.col(close).isNull()).alias("still_open"))

@@ -174,3 +174,8 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def set_contract(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Whether the keys of two tables are the same set, and whether one is a part of the other."""
     return C.set_difference(a, b, keys).agg(F.count_if(F.col("side") == "left").alias("_l"), F.count_if(F.col("side") == "right").alias("_r")).select(((F.col("_l") == 0) & (F.col("_r") == 0)).alias("equal"), (F.col("_l") == 0).alias("left_in_right"), (F.col("_r") == 0).alias("right_in_left"))
+
+
+def disagreement(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """How many rows two rules for the same thing judge differently; an unknown condition counts as false."""
+    return df.agg(F.count("*").alias("n"), F.count_if(S.flag(a) != S.flag(b)).alias("n_differ"))

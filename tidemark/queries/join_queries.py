@@ -313,8 +313,7 @@ def entities(t):
 
 @query("w13_last_by_order", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, count(*) AS n FROM orders GROUP BY 1")
 def last_by(t):
-    order = F.struct("o_orderdate", "o_orderkey")
-    return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", order).alias("last_order"), F.min_by("o_orderkey", order).alias("first_order"), F.count("*").alias("n"))
+    return J.ends_by_order(t.orders, "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"]).withColumnsRenamed({"first": "first_order", "last": "last_order"})
 
 
 @query("j24_new_wins", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v, CASE WHEN b.v IS NULL THEN 'carried' ELSE 'new' END AS origin_of_value FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 4 = 0) b ON a.k = b.k")
@@ -375,12 +374,11 @@ def ragged(t):
     return t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation")).unionByName(t.region.select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region")), allowMissingColumns=True)
 
 
-@query("u07_unambiguous_mapping", "SELECT p_name, min(p_brand) AS brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
+@query("u07_unambiguous_mapping", "SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
 def mapping(t):
-    return t.part.groupBy("p_name").agg(F.min("p_brand").alias("brand"), F.count_distinct("p_brand").alias("n")).filter("n = 1").drop("n")
+    return J.unambiguous(t.lineitem, ["l_orderkey"], "l_returnflag")
 
 
 @query("u03_first_by_key", "SELECT p_brand, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2")
 def first_by_key(t):
-    r = F.row_number().over(W.partitionBy("p_brand", "p_name").orderBy("p_partkey"))
-    return t.part.withColumn("r", r).filter("r = 1").select("p_brand", "p_name", "p_partkey")
+    return J.first_by_key(t.part.select("p_brand", "p_name", "p_partkey"), ["p_brand", "p_name"], ["p_partkey"])

@@ -82,11 +82,7 @@ def bands(t):
     x AS (SELECT k, above, lag(above) OVER (ORDER BY k) AS b FROM l) SELECT count(*) FILTER (above <> b) AS crossings, count(*) FILTER (above) AS n_above, count(*) AS n_cuts FROM x""",
 )
 def crossings(t):
-    d = t.scored().groupBy(F.floor(F.col("p") * 20).alias("k")).agg(F.count("*").alias("n"), F.sum("y").alias("e"))
-    w = W.orderBy(F.desc("k"))
-    c = d.withColumn("cn", F.sum("n").over(w)).withColumn("ce", F.sum("e").over(w)).filter("cn >= 50").crossJoin(F.broadcast(d.agg((F.sum("e") / F.sum("n")).alias("base"))))
-    c = c.withColumn("above", F.col("ce") / F.col("cn") / F.col("base") >= 1).withColumn("b", F.lag("above").over(W.orderBy("k")))
-    return c.agg(F.count_if(F.col("above") != F.col("b")).alias("crossings"), F.count_if("above").alias("n_above"), F.count("*").alias("n_cuts"))
+    return M.lift_crossings(t.scored(), 20)
 
 
 @query("m09_cluster_bootstrap")

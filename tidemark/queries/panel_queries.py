@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark import semantics as S
 from tidemark.operators import contracts as C
 from tidemark.operators import panel as P
+from tidemark.operators import quality as Q
+from tidemark.operators.prep import coded
 from tidemark.queries.registry import FIRST, query
 
 END = "DATE '2000-06-30'"
@@ -28,8 +30,7 @@ def panel_rows(t):
 
 @query("a15_population_crosstab", "SELECT gu::BIGINT AS gu, count(*) FILTER (biz_type = '1-URGENT') AS urgent, count(*) FILTER (biz_type = '2-HIGH') AS high, count(*) FILTER (biz_type NOT IN ('1-URGENT', '2-HIGH')) AS other, count(*) FILTER (close_date IS NULL) AS still_open FROM stores GROUP BY 1")
 def crosstab(t):
-    b = F.col("biz_type")
-    return t.stores().groupBy("gu").agg(F.count_if(b == "1-URGENT").alias("urgent"), F.count_if(b == "2-HIGH").alias("high"), F.count_if(~b.isin("1-URGENT", "2-HIGH")).alias("other"), F.count_if(F.col("close_date").isNull()).alias("still_open"))
+    return P.population(t.stores(), "gu", "biz_type", ("1-URGENT", "2-HIGH"), "close_date").withColumnsRenamed({"n0": "urgent", "n1": "high"})
 
 
 @query(
@@ -130,18 +131,17 @@ def known(t):
 
 @query("f01_district_filter", "SELECT gu::BIGINT AS gu, count(*) AS n FROM stores WHERE gu IN (1, 2, 3) GROUP BY 1")
 def districts(t):
-    return t.stores().filter(F.col("gu").isin(1, 2, 3)).groupBy("gu").agg(F.count("*").alias("n"))
+    return coded(t.stores(), "gu", [1, 2, 3]).groupBy("gu").agg(F.count("*").alias("n"))
 
 
 @query("f02_filter_disagreement", "SELECT count(*) AS n, count(*) FILTER (coalesce(gu = 1, false) <> coalesce(dong < 5, false)) AS n_differ FROM stores")
 def disagreement(t):
-    a, b = S.flag(F.col("gu") == 1), S.flag(F.col("dong") < 5)
-    return t.stores().agg(F.count("*").alias("n"), F.count_if(a != b).alias("n_differ"))
+    return Q.disagreement(t.stores(), F.col("gu") == 1, F.col("dong") < 5)
 
 
 @query("f07_masked_origins", "SELECT origin, count(*) AS n, count(CASE WHEN origin NOT IN ('1996Q1', '1999Q4') THEN area END) AS n_area FROM panel GROUP BY 1")
 def masked(t):
-    rows = t.panel().withColumn("area", F.when(~F.col("origin").isin("1996Q1", "1999Q4"), F.col("area")))
+    rows = P.masked_origins(t.panel(), ("1996Q1", "1999Q4"), ("area",))
     return rows.groupBy("origin").agg(F.count("*").alias("n"), F.count("area").alias("n_area"))
 
 
@@ -167,13 +167,12 @@ def parsed(t):
 
 @query("p15_store_status", "SELECT CASE WHEN close_date IS NOT NULL THEN 'closed' WHEN status = 'F' THEN 'unknown' ELSE 'open' END AS store_status, count(*) AS n FROM stores GROUP BY 1")
 def store_status(t):
-    s = F.when(F.col("close_date").isNotNull(), "closed").when(F.col("status") == "F", "unknown").otherwise("open")
-    return t.stores().groupBy(s.alias("store_status")).agg(F.count("*").alias("n"))
+    return t.stores().groupBy(P.store_status("close_date", "status", ("F",)).alias("store_status")).agg(F.count("*").alias("n"))
 
 
 @query("p16_coarsened", "SELECT store_id, round_even(area / 10, 0) * 10 AS area_10, floor(age_months / 12) * 12 AS age_years_in_months FROM panel WHERE origin = '2000Q2'")
 def coarsened(t):
-    return t.panel().filter("origin = '2000Q2'").select("store_id", (F.bround(F.col("area") / 10, 0) * 10).alias("area_10"), (F.floor(F.col("age_months") / 12) * 12).cast("double").alias("age_years_in_months"))
+    return P.coarsened(t.panel().filter("origin = '2000Q2'"), "area", "age_months").select("store_id", "area_10", "age_years_in_months")
 
 
 @query("r01_verify_step", "SELECT true AS same_n_rows, true AS same_n_stores, true AS same_n_duplicates, false AS same_n_events, true AS same_n_origins, false AS same_label_hash")
