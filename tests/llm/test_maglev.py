@@ -18,6 +18,33 @@ def test_few_slots_move_when_a_shard_leaves():
     assert moved < 0.12 * 5003
 
 
+def by_definition(names, slots):
+    """Whole permutations first, then the turns."""
+    import hashlib
+
+    orders = []
+    for n in names:
+        h = hashlib.sha256(n.encode()).digest()
+        start, step = int.from_bytes(h[:8], "big") % slots, int.from_bytes(h[8:16], "big") % (slots - 1) + 1
+        order = [(start + k * step) % slots for k in range(slots)]
+        assert sorted(order) == list(range(slots))
+        orders.append(order)
+    owner, place = {}, [0] * len(names)
+    while len(owner) < slots:
+        for s, order in enumerate(orders):
+            while place[s] < slots and order[place[s]] in owner:
+                place[s] += 1
+            if len(owner) < slots:
+                owner[order[place[s]]] = s
+    return [owner[k] for k in range(slots)]
+
+
+@pytest.mark.parametrize("n, slots", [(1, 7), (3, 101), (7, 251), (64, 997)])
+def test_the_table_is_the_one_by_definition(n, slots):
+    names = [f"shard-{i:03d}" for i in range(n)]
+    assert maglev.lookup(names, slots) == by_definition(names, slots)
+
+
 @pytest.mark.parametrize("names, slots", [([], 7), (["a", "a"], 7), (["a"], 8), (["a", "b", "c"], 2)])
 def test_bad_tables(names, slots):
     with pytest.raises(ValueError):

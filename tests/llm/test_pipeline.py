@@ -43,3 +43,22 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_of_clashing_names_and_very_long_texts(spark, tmp_path):
+    rows, _, items = corpus()
+    long = " ".join(f"the{'ing' * (i % 7)} on{'er' * (i % 11)}and" for i in range(60_000))
+    made = [(*r, len(r[1] or ""), 1.5, "x", 3, "y", 7) for r in [*rows, (900, long, "aa", "s1"), (901, long + " onthe", "aa", "s2"), (None, "the ing on er and the the", "aa", None)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, size long, node string, target int"
+    spark.createDataFrame(made, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = scratch.table(stage(spark, docs, str(tmp_path)), "test")
+        assert out.columns == docs.columns, name
+        docs = out
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert (900 in ids) and (901 in ids) == (name == "language ID"), name
+    first = docs.filter("doc_id = 900").first()
+    assert first["text"] == long and (first["score"], first["lang_pred"], first["size"], first["node"], first["target"]) == (1.5, "x", 3, "y", 7)
+    assert {"shard", "slot"} <= set(corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).columns)

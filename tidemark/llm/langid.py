@@ -270,3 +270,10 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     """predict() over docs, fitted on those of them that aren't held out. A null id is in neither part's training."""
     profiles = fit(docs.filter(F.coalesce(~held_out(id), F.lit(False))), lang, text, id=id, **options)
     return predict(docs, profiles, text)
+
+
+def in_known_language(docs: DataFrame, least: float, id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """The rows of docs, with all their columns as they are, that are in a language learned from them: not und, score `least` or more."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("lang_pred", "score", "margin")}
+    found = identify(docs.withColumnsRenamed(own), id, text, lang, **options).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
