@@ -234,7 +234,11 @@ def test_readers_and_writers(spark, tmp_path):
         readers.store_ids(df, "kind", "no", {"other": "r"}).collect()
     snaps = readers.snapshots(spark, [str(tmp_path / "a_202101.csv")], ["번호", "이름"], "번호", encoding="MS949")
     assert {r["snapshot"] for r in snaps.collect()} == {"202101"}
-    assert sorted(r["row_id"] for r in readers.file_rows(spark.range(100).repartition(7)).collect()) == list(range(100))
+    spark.range(5000).repartitionByRange(7, "id").sortWithinPartitions("id").write.csv(str(tmp_path / "n.csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # files in several splits
+    scanned = readers.file_rows(spark.read.schema("id long").csv(str(tmp_path / "n.csv"))).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(scanned) == 5000 and all(r["row_id"] == r["id"] for r in scanned)
     (tmp_path / "r.jsonl").write_text('{"a":1}\nnot json\n{"a":2}\n')
     good, bad = readers.json_lines(spark, str(tmp_path / "r.jsonl"), "a int")
     assert (good.count(), bad.count()) == (2, 1)
