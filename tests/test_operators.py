@@ -55,6 +55,8 @@ def test_projection_there_and_back(spark):
         if (x + 1000, y) in good:  # a step of a kilometre stays one but for the scales of the two grids
             a, b = good[(x + 1000, y)]
             assert abs(math.hypot(a - u, b - v) - 1000) < 1
+    hall = G.shifted_datum(G.geographic(spark.createDataFrame([(197987.0, 451580.0)], "x double, y double"), "x", "y")).first()
+    assert abs(hall["_lon"] - 126.9780) < 1e-4 and abs(hall["_lat"] - 37.5665) < 1e-4
     lon = spark.createDataFrame([(127.0, 37.5)], "lon double, lat double")
     x, y = G.transverse_mercator(F.col("lon"), F.col("lat"))
     plane = lon.select(x.alias("x"), y.alias("y"))
@@ -163,3 +165,27 @@ def test_auc_difference_of_a_score_with_itself_is_none(spark):
     out = U.auc_difference(rows, "p", "p", "y", "c", 10).first()
     assert out["difference"] == out["low"] == out["high"] == 0
     assert M.ranking(rows).first()["auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in range(0, 500, 3) for b in range(500) if b % 3) / (167 * 333), abs=1e-3)
+
+
+def test_quantiles_and_ranks_of_ranges(spark):
+    from tidemark.operators.order import mean_ranks, quantiles
+
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.5, 0.25, None])) for _ in range(3000)] + [("one", 7.0), ("none", None)]
+    rows = spark.createDataFrame(data, "g string, v double")
+    shares = [0, 0.001, 0.1, 0.5, 0.77, 0.999, 1]
+    got = {r["g"]: r["q"] for r in quantiles(rows, "v", shares, ["g"]).collect()}
+
+    def exact(values, s):
+        values, place = sorted(values), s * (len(values) - 1)
+        a, b = values[math.floor(place)], values[math.ceil(place)]
+        return a * (1 - (place - math.floor(place))) + b * (place - math.floor(place))
+
+    assert set(got) == {"a", "b", None, "one"}
+    for g, q in got.items():
+        assert q == pytest.approx([exact([v for h, v in data if h == g and v is not None], s) for s in shares])
+    whole = [v for _, v in data if v is not None]
+    assert quantiles(rows, "v", [i / 50 for i in range(51)]).first()["q"] == pytest.approx([exact(whole, i / 50) for i in range(51)])
+    ranks = {r["v"]: r["k"] for r in mean_ranks(rows, "v", "k").collect()}
+    order = sorted(whole)
+    assert ranks[None] is None and all(ranks[v] == pytest.approx(order.index(v) + (order.count(v) + 1) / 2) for v in set(whole))

@@ -38,18 +38,24 @@ def quantiles(df: DataFrame, c: str, shares: Sequence[float], by: Sequence[str]
 
 
 def quantiles_of(table: DataFrame, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """quantiles() of a numbered() column, with how many values each group has (total)."""
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("upto") > place, F.col("value"))).cast("double")
-
-    parts = []
-    for s in shares:
-        place = (F.col("total") - 1) * s
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        share = F.max(place - F.floor(place))
-        parts.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share))
-    return table.groupBy(*by).agg(F.array(*parts).alias("q"), F.max("total").alias("total"))
+    """quantiles() of a numbered() column, with how many values each group has (total).
+
+    A value covers places upto - n to upto - 1 of its group. Places are joined by which 4096th of the group they lie in, so that a value meets
+    the few that are sought there and no others.
+    """
+    part = lambda place: F.floor(place * 4096 / F.col("total"))
+    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
+    rows = table.select(*by, "value", first.alias("_first"), last.alias("_last"), F.explode(F.sequence(part(first), part(last))).alias("_part"))
+    sizes = table.groupBy(*by).agg(F.max("total").alias("total"))
+    sought = sizes.select(*by, "total", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("_i", "_s")).withColumn("_at", (F.col("total") - 1) * F.col("_s"))
+    sought = sought.withColumn("_place", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).withColumn("_part", part(F.col("_place")))
+    sought = sought.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(by)], "total", "_i", (F.col("_at") - F.floor("_at")).alias("_f"), "_place", F.col("_part").alias("_sought"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(by)]
+    on = [F.col("_part") == F.col("_sought"), F.col("_place").between(F.col("_first"), F.col("_last")), *same]
+    found = rows.join(sought, on).groupBy(*by, "total", "_i").agg(F.min("value").cast("double").alias("_l"), F.max("value").cast("double").alias("_h"), F.max("_f").alias("_f"))
+    q = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") * (1 - F.col("_f")) + F.col("_h") * F.col("_f"))
+    ordered = F.array_sort(F.collect_list(F.struct("_i", q.alias("_q"))))  # one for each share
+    return found.groupBy(*by).agg(F.transform(ordered, lambda x: x["_q"]).alias("q"), F.max("total").alias("total"))
 
 
 def mean_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
