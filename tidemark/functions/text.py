@@ -133,7 +133,11 @@ def search_key(c: str | Column) -> Column:
     return F.nullif(F.regexp_replace(F.upper(col(c)), KEPT, ""), F.lit(""))
 
 
-def address_key(c: str | Column, prefix: str = r"^(서울특별시|서울시|서울)") -> Column:
+#: Fixed value: the city's names, which an address key leaves out.
+CITY_NAMES = r"^(서울특별시|서울시|서울)"
+
+
+def address_key(c: str | Column, prefix: str = CITY_NAMES) -> Column:
     """Breaks become |, other marks but - go, the city's name in front as well."""
     broken = F.regexp_replace(F.upper(col(c)), r"[,()]", "|")
     bare = F.regexp_replace(F.regexp_replace(broken, r"[^가-힣A-Z0-9|\-]", ""), r"^\|+|\|+$", "")

@@ -98,16 +98,27 @@ def feature_set(columns: Sequence[str], roles: dict[str, str], groups: dict[str,
     return [c for c in columns if roles[c] == "predictor" and groups.get(c) in wanted]
 
 
+#: Where the categories of tenure (months) and of size (persons) begin.
+TENURE_FROM, SIZE_FROM = (0, 12, 36, 60, 120), (1, 2, 3, 5)
+
+
+def category(c: str, begins: Sequence[int]) -> Column:
+    """The category of a whole number, named by its first and last value; "missing", or "invalid" where it is no whole number from the first on."""
+    v = F.col(c).cast("double")
+    out = F.when(v.isNull(), "missing").when(F.isnan(v) | (v < begins[0]) | (v % 1 != 0), "invalid")
+    for a, b in zip(begins, begins[1:], strict=False):
+        out = out.when(v < b, str(a) if b == a + 1 else f"{a}-{b - 1}")
+    return out.otherwise(f"{begins[-1]}+")
+
+
 def tenure_category(c: str, invalid: Column | None = None) -> Column:
-    m = F.col(c).cast("double")
-    whole = (m >= 0) & (m % 1 == 0) & ~F.isnan(m)
-    out = F.when(m.isNull(), "missing").when(~whole, "invalid").when(m < 12, "0-11").when(m < 36, "12-35").when(m < 60, "36-59").when(m < 120, "60-119").otherwise("120+")
+    """category() of a tenure; a row marked invalid is that, one whose mark is missing is missing."""
+    out = category(c, TENURE_FROM)
     return out if invalid is None else F.when(invalid.isNull(), "missing").when(invalid == 1, "invalid").otherwise(out)
 
 
 def size_category(c: str) -> Column:
-    n = F.col(c).cast("double")
-    return F.when(n.isNull(), "missing").when(~((n >= 1) & (n % 1 == 0)), "invalid").when(n < 2, "1").when(n < 3, "2").when(n < 5, "3-4").otherwise("5+")
+    return category(c, SIZE_FROM)
 
 
 def priority(close: str, since: Column) -> Column:

@@ -225,7 +225,11 @@ def recalibrated_by_origin(oof: DataFrame, origin: str, embargo: int = ML.EMBARG
     return out, used
 
 
-def adopted(summary: DataFrame, auc_low: float = 0.0, ece: float = 0.002, slope: float = 0.05) -> DataFrame:
+#: What an extension must gain in AUC at least, and may cost in calibration error and in slope.
+GAIN, ERROR, SLOPE = 0.0, 0.002, 0.05
+
+
+def adopted(summary: DataFrame, auc_low: float = GAIN, ece: float = ERROR, slope: float = SLOPE) -> DataFrame:
     """Whether each policy's extension meets the fixed rule, and whether all do (the verdict).
 
     summary: policy, auc_ci_low, ece_increase, slope_dev_increase.
