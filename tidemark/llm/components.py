@@ -78,7 +78,11 @@ def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS, at_once: b
     star = scratch.table(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).dropDuplicates(), "pairs")
     held = contents(sent(scratch.table(member.select(F.col("node").alias("x")).dropDuplicates(), "ids"))) if at_once else None
     of = lambda pairs: held if at_once else contents(_ids(pairs))
-    links = scratch.table(near(star, of(star)), "links")
+    texts = of(star)
+    links = scratch.table(near(star, texts), "links")
+    scratch.drop(star)
+    if not at_once:
+        scratch.drop(texts)
     roots = scratch.table(connected(links), "roots")
 
     root = F.coalesce("root", "node")
@@ -88,7 +92,8 @@ def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS, at_once: b
     ids = sent(scratch.table(mixed.select(F.col("node").alias("x")).dropDuplicates(), "ids"))
     following = F.slice(F.concat("sketches", "sketches"), F.col("j") + 2, F.least(F.lit(PATH * draws), F.size("sketches")))
     paths = nodes.join(ids, F.col("node") == F.col("x"), "left_semi").select(F.col("node").alias("x"), "sketches")
-    mixed = mixed.join(paths, F.col("node") == F.col("x")).select("sketch", "node", "size", "root", following.alias("path"))
+    several = mixed
+    mixed = several.join(paths, F.col("node") == F.col("x")).select("sketch", "node", "size", "root", following.alias("path"))
     mine, others = F.struct("node", "size", "root"), {}
     for turn in range(draws):
         others[f"drawn{turn}"] = F.min(F.struct(F.xxhash64("node", "sketch", F.lit(turn)).alias("by"), mine.alias("it"))).over(bucket)["it"]
@@ -97,7 +102,12 @@ def linked(nodes: DataFrame, contents, near, may, draws: int = DRAWS, at_once: b
     apart = lambda o: (F.col("root") != F.col(f"{o}.root")) & may(F.col("size"), F.col(f"{o}.size"))
     pairs = [places.filter(apart(o)).select(F.least("node", f"{o}.node").alias("a"), F.greatest("node", f"{o}.node").alias("b")) for o in others]
     pairs = scratch.table(reduce(DataFrame.unionByName, pairs).dropDuplicates(), "pairs")
-    more = scratch.table(near(pairs, of(pairs)), "links")
+    scratch.drop(several)
+    scratch.drop(places)
+    texts = of(pairs)
+    more = scratch.table(near(pairs, texts), "links")
+    scratch.drop(pairs)
+    scratch.drop(texts)
     if more.isEmpty():
         return roots
     return connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
