@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,35 +54,54 @@ def complete_grid(domains: Sequence[DataFrame], facts: Sequence[DataFrame], keys
     return grid
 
 
+def _counted(known: DataFrame, key: Sequence[str], entity: str, first: int = 5) -> DataFrame:
+    """For each key of different (key, entity) how many entities it has (n), and the smallest ones in order (found)."""
+    of = known.withColumns({f"_{i}": F.col(k) for i, k in enumerate(key)}).select(*[f"_{i}" for i in range(len(key))], F.col(entity).alias("_e"))
+    of = of.withColumn("_r", F.row_number().over(W.partitionBy(*of.columns[:-1]).orderBy("_e"))).filter(F.col("_r") <= first)
+    of = of.groupBy(*of.columns[:-2]).agg(F.array_sort(F.collect_list("_e")).alias("found"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)])
+    return known.groupBy(*key).agg(F.count("*").cast("int").alias("n")).join(of, same).select(*key, "n", "found")
+
+
 def tiers(left: DataFrame, right: DataFrame, variants: Sequence[tuple[int, str, str]], block: str, id: str, entity: str) -> DataFrame:
     """Exact joins in the order of variants (tier, left key, right key), each inside a block.
 
     A row's first variant with one entity decides; if no variant has one, it is ambiguous by the last variant that found any. Rows
-    that no variant finds are absent. One job for all variants.
+    that no variant finds are absent. One job for all variants. Entities are counted for each key before the join, so that a key
+    costs its rows of both sides, not their product; only ids that stand with several keys meet the entities themselves.
     """
     found = []
     for order, (tier, a, b) in enumerate(variants):
-        pairs = left.filter(F.col(a).isNotNull() & F.col(block).isNotNull()).select(id, block, F.col(a).alias("_k")).join(
-            right.filter(F.col(b).isNotNull()).select(block, F.col(b).alias("_k"), entity), [block, "_k"]
-        )
-        each = pairs.groupBy(id).agg(F.array_sort(F.collect_set(entity)).alias("found"))
-        found.append(each.select(id, F.lit(tier).alias("tier"), F.lit(order).alias("variant"), "found"))
+        key = [block, "_k"]
+        own = left.filter(F.col(a).isNotNull() & F.col(block).isNotNull()).select(id, block, F.col(a).alias("_k")).distinct()
+        own = own.withColumn("_n", F.count("*").over(W.partitionBy(id)))
+        known = right.filter(F.col(b).isNotNull() & F.col(entity).isNotNull()).select(block, F.col(b).alias("_k"), entity).distinct()
+        one = own.filter("_n = 1").join(_counted(known, key, entity), key)
+        several = _counted(own.filter("_n > 1").join(known, key).select(id, entity).distinct(), [id], entity)
+        each = one.select(id, "n", "found").unionByName(several.select(id, "n", "found"))
+        found.append(each.select(id, F.lit(tier).alias("tier"), F.lit(order).alias("variant"), "n", "found"))
     every = reduce(DataFrame.unionByName, found)
-    only = F.size("found") == 1
+    only = F.col("n") == 1
     rank = F.row_number().over(W.partitionBy(id).orderBy(F.when(only, 0).otherwise(1), F.when(only, F.col("variant")).otherwise(-F.col("variant"))))
     first = every.withColumn("_r", rank).filter("_r = 1")
     return first.select(
-        id, "tier", "variant", only.alias("matched"), (~only).alias("ambiguous"), F.size("found").alias("n_candidates"), F.when(only, F.element_at("found", 1)).alias(entity),
-        F.when(~only, F.concat_ws("|", F.slice("found", 1, 5))).alias("candidates"),
+        id, "tier", "variant", only.alias("matched"), (~only).alias("ambiguous"), F.col("n").alias("n_candidates"), F.when(only, F.element_at("found", 1)).alias(entity),
+        F.when(~only, F.concat_ws("|", "found")).alias("candidates"),
     )
 
 
 def best_with_margin(scored: DataFrame, id: str, entity: str, score: str, threshold: float, margin: float, crowded: int = 20, crowded_least: float | None = None) -> DataFrame:
     """The best entity of each row, if its score passes the threshold and the runner-up's by the margin."""
     per = scored.groupBy(id, entity).agg(F.max(score).alias("score"))
+    n = per.groupBy(F.col(id).alias("_id")).agg(F.count("*").alias("n_candidates"))
+    return _judged(per, n, id, entity, threshold, margin, crowded, crowded_least)
+
+
+def _judged(per: DataFrame, n: DataFrame, id: str, entity: str, threshold: float, margin: float, crowded: int, crowded_least: float | None) -> DataFrame:
+    """per: (id, entity, score), the two best entities of each id at least; n: (_id, n_candidates)."""
     w = W.partitionBy(id).orderBy(F.desc("score"), entity)
     ranked = per.withColumn("_r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(-1.0)))
-    ranked = ranked.withColumn("n_candidates", F.count("*").over(W.partitionBy(id))).filter("_r = 1")
+    ranked = ranked.filter("_r = 1").join(n, F.col(id).eqNullSafe(F.col("_id")))
     passed, clear = F.col("score") >= threshold, F.col("score") - F.col("second") >= margin
     busy = F.col("n_candidates") > crowded
     weak = busy & (F.col("score") < crowded_least) if crowded_least is not None else F.lit(False)
@@ -91,6 +110,25 @@ def best_with_margin(scored: DataFrame, id: str, entity: str, score: str, thresh
     return ranked.select(id, F.col("score"), "n_candidates", busy.alias("crowded"), matched.alias("matched"), (passed & ~matched).alias("ambiguous"), F.when(matched, F.col(entity)).alias(entity), reason.alias("reason"))
 
 
+def best_of_texts(left: DataFrame, right: DataFrame, block: str, id: str, entity: str, text: str, score: Callable[[DataFrame, str, str, str], DataFrame], threshold: float, margin: float, crowded: int = 20, crowded_least: float | None = None) -> DataFrame:
+    """best_with_margin() of all pairs inside a block, scored by score(pairs, a, b, out) of their texts, without making the pairs.
+
+    Each different pair of texts of a block is scored once. Of the entities that share a text only the two smallest can be among
+    a row's two best, so that only these are ranked; candidates are counted apart.
+    """
+    mine = left.filter(F.col(block).isNotNull()).select(id, block, F.col(text).alias("_a")).distinct()
+    theirs = right.filter(F.col(block).isNotNull()).select(block, F.col(text).alias("_b"), entity).distinct()
+    few = theirs.withColumn("_r", F.row_number().over(W.partitionBy(block, "_b").orderBy(entity))).filter("_r <= 2").select(F.col(block).alias("_block"), F.col("_b").alias("_c"), entity)
+    scored = score(mine.select(block, "_a").distinct().join(theirs.select(block, "_b").distinct(), block), "_a", "_b", "score")
+    top = scored.join(few, (F.col(block) == F.col("_block")) & F.col("_b").eqNullSafe(F.col("_c"))).groupBy("_block", "_a", entity).agg(F.max("score").alias("score"))
+    top = top.withColumn("_r", F.row_number().over(W.partitionBy("_block", "_a").orderBy(F.desc("score"), entity))).filter("_r <= 2").withColumnRenamed("_a", "_t")
+    per = mine.join(top, (F.col(block) == F.col("_block")) & F.col("_a").eqNullSafe(F.col("_t"))).groupBy(id, entity).agg(F.max("score").alias("score"))
+    held, blocks = theirs.select(block, entity).distinct(), mine.select(id, block).distinct().withColumn("_n", F.count("*").over(W.partitionBy(id)))
+    one = blocks.filter("_n = 1").join(held.groupBy(block).agg(F.count("*").alias("n_candidates")), block).select(F.col(id).alias("_id"), "n_candidates")
+    several = blocks.filter("_n > 1").join(held, block).select(F.col(id).alias("_id"), entity).distinct().groupBy("_id").agg(F.count("*").alias("n_candidates"))
+    return _judged(per, one.unionByName(several), id, entity, threshold, margin, crowded, crowded_least)
+
+
 def remaining(left: DataFrame, attempted: DataFrame, id: str) -> DataFrame:
     """Rows that an earlier tier hasn't tried."""
     return left.join(attempted.select(id), id, "left_anti")
