@@ -36,3 +36,23 @@ def test_exact_tiers_make_no_pairs_and_ids_may_have_several_keys(spark):
     got = {r["id"]: (r["n_candidates"], r["candidates"], r["e"]) for r in out.collect()}
     assert got == {i: (800, "0|1|2|3|4", None) for i in range(800)} | {900: (1, None, 7)}
     assert rows_made(out) < 10_000
+
+
+def test_best_of_texts_is_best_of_all_pairs(spark):
+    rng = random.Random(2)
+    say = lambda: rng.choice([None, "".join(rng.choices("abc", k=rng.randint(1, 5)))]) if rng.random() < 0.2 else rng.choice(["abca", "abcb", "cab", "bbbb"])
+    left = [(rng.randrange(25), rng.choice("xyz"), say()) for _ in range(40)] + [(90, "nulls", "a"), (91, None, "a")]
+    right = [(rng.randrange(30), rng.choice("xy"), say()) for _ in range(60)] + [(90, "nulls", None), (91, "z", None), (92, "z", "abca")]
+    a, b = spark.createDataFrame(left, "id int, block string, t string"), spark.createDataFrame(right, "e int, block string, t string")
+    pairs = a.select("id", "block", F.col("t").alias("l")).join(b.select("e", "block", F.col("t").alias("r")), "block")
+    for rule in ((0.75, 0.05, 5, 0.9), (0.3, 0.01, 20, None)):
+        want = J.best_with_margin(X.sequence_ratio(pairs, "l", "r", "s"), "id", "e", "s", *rule)
+        got = J.best_of_texts(a, b, "block", "id", "e", "t", X.sequence_ratio, *rule)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_best_of_texts_makes_no_pairs(spark):
+    rows = [(i, "b", f"name {i % 3}") for i in range(700)]
+    got = J.best_of_texts(spark.createDataFrame(rows, "id int, block string, t string"), spark.createDataFrame(rows, "e int, block string, t string"), "block", "id", "e", "t", X.sequence_ratio, 0.75, 0.05)
+    assert {(r["score"], r["n_candidates"], r["ambiguous"]) for r in got.collect()} == {(1.0, 700, True)} and rows_made(got) < 10_000
+    assert difflib.SequenceMatcher(None, "name 0", "name 1").ratio() < 1

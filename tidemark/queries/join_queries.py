@@ -168,8 +168,7 @@ def exact(t):
 @query("j12_fuzzy_tier")
 def fuzzy(t):
     left, right = sides(t)
-    pairs = left.select("store_id", "block", F.col("name").alias("a")).join(right.select("entity", "block", F.col("name").alias("b")), "block")
-    return J.best_with_margin(X.sequence_ratio(pairs, "a", "b", "score"), "store_id", "entity", "score", 0.75, 0.05, 20, 0.9)
+    return J.best_of_texts(left, right, "block", "store_id", "entity", "name", X.sequence_ratio, 0.75, 0.05, 20, 0.9)
 
 
 @query("j20_cascade")
@@ -177,8 +176,7 @@ def cascade(t):
     left, right = sides(t)
     first = J.tiers(left, right, [(1, "name", "name")], "block", "store_id", "entity").select("store_id", "tier", "matched", "ambiguous", "entity")
     rest = J.remaining(left, first, "store_id")
-    pairs = rest.select("store_id", "block", F.col("name").alias("a")).join(right.select("entity", "block", F.col("name").alias("b")), "block")
-    second = J.best_with_margin(X.sequence_ratio(pairs, "a", "b", "score"), "store_id", "entity", "score", 0.75, 0.05)
+    second = J.best_of_texts(rest, right, "block", "store_id", "entity", "name", X.sequence_ratio, 0.75, 0.05)
     both = first.unionByName(second.select("store_id", F.lit(3).alias("tier"), "matched", "ambiguous", "entity"))
     return left.select("store_id").join(both, "store_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("matched", "ambiguous")})
 
