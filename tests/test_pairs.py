@@ -56,3 +56,16 @@ def test_best_of_texts_makes_no_pairs(spark):
     got = J.best_of_texts(spark.createDataFrame(rows, "id int, block string, t string"), spark.createDataFrame(rows, "e int, block string, t string"), "block", "id", "e", "t", X.sequence_ratio, 0.75, 0.05)
     assert {(r["score"], r["n_candidates"], r["ambiguous"]) for r in got.collect()} == {(1.0, 700, True)} and rows_made(got) < 10_000
     assert difflib.SequenceMatcher(None, "name 0", "name 1").ratio() < 1
+
+
+def test_bigrams_as_bits_are_the_bigrams(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "ab", "b", "漢字漢", None, "aaaa", None] + ["".join(rng.choices("abcdefghijklmn 漢é", k=rng.randint(2, 14))) for _ in range(60)]
+    texts += [t[1:5] for t in texts if t]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for words in (1, 8):
+        p, similar = X.bigram_bits(rows, "t", words)
+        structure, share = similar("l", "r")
+        got = p.alias("l").join(p.alias("r"), F.col("l.k") < F.col("r.k")).select(F.col("l.t").alias("a"), F.col("r.t").alias("b"), structure.alias("s"), S.rounded_share(share).alias("g"))
+        got = got.withColumns({"x": X.structure("a", "b"), "y": F.when(F.col("a").isNotNull() | F.col("b").isNotNull(), S.rounded(X.bigram_jaccard("a", "b")))})
+        assert got.count() == len(texts) * (len(texts) - 1) // 2 and got.filter("NOT s <=> x OR NOT g <=> y").collect() == []

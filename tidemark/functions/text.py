@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,6 +76,34 @@ def bigram_jaccard(a: str | Column, b: str | Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def bigram_bits(df: DataFrame, c: str, words: int = 8) -> tuple[DataFrame, Callable[[str, str], tuple[Column, Column]]]:
+    """(df with the bigrams of c as bits, f); f(l, r) gives structure() and bigram_jaccard() of two aliases of it, the latter
+    missing where both texts are.
+
+    The commonest 64 * words bigrams are bits, others stay in an array, so that any text is compared exactly. Bits are made once
+    for each different text; a pair then costs a few operations on longs. A text holds another only if it has all its bigrams.
+    """
+    each = df.select(F.col(c).alias("_t")).distinct().select("_t", F.explode(bigrams("_t")).alias("_g"))
+    common = [r["_g"] for r in each.groupBy("_g").count().orderBy(F.desc("count"), "_g").limit(64 * words).collect()]
+    n = -(-len(common) // 64)
+    places = df.sparkSession.createDataFrame([(g, i // 64, (1 << i % 64) - (1 << 64) * (i % 64 == 63)) for i, g in enumerate(common)], "_g string, _word int, _bit long")
+    bits = [F.coalesce(F.bit_or(F.when(F.col("_word") == i, F.col("_bit"))), F.lit(0).cast("long")).alias(f"_w{i}") for i in range(n)]
+    rest = [F.collect_list(F.when(F.col("_word").isNull(), F.col("_g"))).alias("_rest")] if len(common) == 64 * words else []
+    sets = each.join(F.broadcast(places), "_g", "left").groupBy("_t").agg(F.count("*").alias("_n"), *bits, *rest)
+
+    def similar(left: str, right: str) -> tuple[Column, Column]:
+        x, y = (lambda k: F.col(f"{left}.{k}")), (lambda k: F.col(f"{right}.{k}"))
+        both = F.lit(0)
+        for i in range(n):
+            both = both + F.bit_count(x(f"_w{i}").bitwiseAND(y(f"_w{i}")))
+        if rest:
+            both = both + F.when((F.size(x("_rest")) > 0) & (F.size(y("_rest")) > 0), F.size(F.array_intersect(x("_rest"), y("_rest")))).otherwise(0)
+        may = (F.length(x(c)) < 2) | (F.length(y(c)) < 2) | (both == F.least(x("_n"), y("_n")))
+        return F.when(may, structure(x(c), y(c))).otherwise("other"), F.when(x("_n").isNotNull() & y("_n").isNotNull(), both / (x("_n") + y("_n") - both)).when(x("_n").isNotNull() | y("_n").isNotNull(), 0.0)
+
+    return df.join(sets, F.col(c) == F.col("_t"), "left").drop("_t"), similar
+
+
 def sequence_ratio(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """pairs with the Ratcliff-Obershelp ratio of two columns; each different pair of texts is scored once."""
     shipping.ensure(pairs.sparkSession)

@@ -188,9 +188,10 @@ def cascade(t):
     SELECT ka, kb, CASE WHEN a = b THEN 'exact' WHEN contains(a, b) OR contains(b, a) THEN 'containment' ELSE 'other' END AS structure, round_even(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS bigram FROM g""",
 )
 def similarity(t):
-    a = t.part.select(F.col("p_partkey").alias("ka"), "p_brand", "p_size", F.col("p_name").alias("a"))
-    b = t.part.select(F.col("p_partkey").alias("kb"), "p_brand", "p_size", F.col("p_name").alias("b"))
-    return a.join(b, ["p_brand", "p_size"]).filter("ka < kb").select("ka", "kb", X.structure("a", "b").alias("structure"), S.rounded(X.bigram_jaccard("a", "b")).alias("bigram"))
+    p, similar = X.bigram_bits(t.part.select("p_partkey", "p_brand", "p_size", F.col("p_name").alias("name")), "name")
+    pairs = p.alias("l").join(p.alias("r"), ["p_brand", "p_size"]).filter("l.p_partkey < r.p_partkey")
+    structure, share = similar("l", "r")
+    return pairs.select(F.col("l.p_partkey").alias("ka"), F.col("r.p_partkey").alias("kb"), structure.alias("structure"), S.rounded_share(share).alias("bigram"))
 
 
 @query("j13_radius", "SELECT a.id AS id_l, b.id AS id_r, round_even(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM points a JOIN points b ON a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 3")

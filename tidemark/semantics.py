@@ -33,6 +33,11 @@ def rounded(c: str | Column, digits: int = 6) -> Column:
     return F.bround(col(c).cast("double"), digits) + F.lit(0.0)
 
 
+def rounded_share(c: Column, digits: int = 6) -> Column:
+    """rounded() of a ratio of two small counts, whose distance from a tie is far beyond a double's error; without decimals, for very many rows."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def quarter_number(date: str | Column) -> Column:
     d = col(date)
     return F.year(d) * 4 + F.quarter(d) - 1
