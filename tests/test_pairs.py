@@ -69,3 +69,9 @@ def test_bigrams_as_bits_are_the_bigrams(spark):
         got = p.alias("l").join(p.alias("r"), F.col("l.k") < F.col("r.k")).select(F.col("l.t").alias("a"), F.col("r.t").alias("b"), structure.alias("s"), S.rounded_share(share).alias("g"))
         got = got.withColumns({"x": X.structure("a", "b"), "y": F.when(F.col("a").isNotNull() | F.col("b").isNotNull(), S.rounded(X.bigram_jaccard("a", "b")))})
         assert got.count() == len(texts) * (len(texts) - 1) // 2 and got.filter("NOT s <=> x OR NOT g <=> y").collect() == []
+
+
+def test_a_background_of_any_size_is_pinned(spark):
+    rows = spark.range(5000).withColumn("v", F.col("id") * 2)
+    found = U.background_manifest(rows, ["id"], ["v"]).first().asDict()
+    assert U.pinned_background(rows, found, ["id"], ["v"]).count() == 5000
