@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -177,3 +178,67 @@ def test_a_group_that_shares_a_passage_keeps_its_near_copies(spark):
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
     found = sum(got[400 + i] == got[i] for i in range(60))
     assert found >= 57 and sum(got[i] == i for i in range(400)) == 400
+
+
+def test_a_group_that_shares_a_passage_makes_no_row_for_each_pair(spark, monkeypatch):
+    """300 texts with a passage in common and two near copies among them, which must be found without comparing 44,850 pairs as rows."""
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    passage = say(70)
+    texts = [say(40) + passage + say(40) for _ in range(300)]
+    texts += [edited(rng, texts[i], 12) for i in (5, 9)]
+    made, aligned = [], order_minhash.aligned
+    monkeypatch.setattr(order_minhash, "aligned", lambda pairs, held, threshold: made.append(pairs.count()) or aligned(pairs, held, threshold))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert [got[300], got[301]] == [5, 9] and all(got[i] == i for i in range(300))
+    assert sum(made) <= 20_000
+
+
+def family(rng, n):
+    """Texts of a few families, some of them just at the limit."""
+    base = [[rng.randint(0, 60) for _ in range(rng.choice([5, 30, 64, 130]))] for _ in range(8)]
+    out = []
+    for _ in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, int(0.35 * len(w)))):
+            i, r = rng.randrange(len(w)), rng.random()
+            w[i : i + 1] = [rng.randint(0, 60)] if r < 0.4 else [] if r < 0.7 and len(w) > 2 else [w[i], rng.randint(0, 60)]
+        out.append(np.array(w, np.uint32))
+    return out
+
+
+def test_common_runs_against_counters():
+    texts = family(random.Random(2), 120)
+    runs = [Counter(zip(["start", *w.tolist()], [*w.tolist(), "end"], strict=True)) for w in texts]
+    want = np.array([[(a & b).total() for b in runs] for a in runs])
+    got = order_minhash.common_runs(texts, np.arange(120), None)
+    assert (np.triu(got, 1) == np.triu(want, 1)).all()
+    one, two = np.arange(0, 120, 3), np.flatnonzero(np.arange(120) % 3)
+    assert (order_minhash.common_runs(texts, one, two) == want[np.ix_(one, two)]).all()
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_pairs_aligned_at_once_as_one_by_one(threshold):
+    rng = random.Random(6)
+    texts = family(rng, 100)
+    pairs = [(rng.randrange(100), rng.randrange(100)) for _ in range(3000)]
+    assert order_minhash.all_similar(texts, pairs, threshold).tolist() == [order_minhash.similar(texts[a], texts[b], threshold) for a, b in pairs]
+
+
+@pytest.mark.parametrize("sides", [False, True])
+@pytest.mark.parametrize("threshold", [0.8, 0.4])
+def test_groups_are_joined_as_by_all_pairs(threshold, sides):
+    rng = random.Random(9)
+    texts = family(rng, 150)
+    side = np.array([rng.random() < 0.4 for _ in texts]) if sides else None
+
+    def parts(pairs):
+        root = list(range(len(texts)))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(i for i, r in enumerate(root) if r == s) for s in root}
+
+    pairs = [(i, j) for i in range(150) for j in range(i) if (not sides or side[i] != side[j]) and order_minhash.similar(texts[i], texts[j], threshold)]
+    found = order_minhash.found_within(texts, list(range(150)), side, threshold)
+    assert parts(found) == parts(pairs) and len(found) < 150
